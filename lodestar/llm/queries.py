@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, hilbert_packing, toxicity
+from . import bagminhash, exact_dedup, hilbert_packing, interp_lm, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interp_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op9_bagminhash)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op8_interpolated_lm, op9_bagminhash)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, hilbert_packing, interp_lm, toxicity
+from . import bagminhash, exact_dedup, hilbert_packing, interp_lm, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp_lm.score(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op8_interpolated_lm, op9_bagminhash)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op8_interpolated_lm, op9_bagminhash)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -56,4 +60,12 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
     """,
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+        ), r AS (SELECT *, strlen(body) >= 100 AND place > 1 AND first_id IS NOT NULL AS again FROM p)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to FROM r
+    """,
 }

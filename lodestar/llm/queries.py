@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, hilbert_packing, interp_lm, toxicity, url_filter, warc
+from . import bagminhash, exact_dedup, hilbert_packing, html_extract, interp_lm, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp_lm.score(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op6_url_language_models, op8_interpolated_lm, op9_bagminhash)}
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op6_url_language_models, op7_html_extract, op8_interpolated_lm, op9_bagminhash)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

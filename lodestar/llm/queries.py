@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, hilbert_packing, html_extract, interp_lm, toxicity, url_filter, warc
+from . import bagminhash, exact_dedup, hilbert_packing, html_extract, interp_lm, piece_codec, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op6_url_language_models, op7_html_extract, op8_interpolated_lm, op9_bagminhash)}
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op6_url_language_models, op7_html_extract, op8_interpolated_lm, op9_bagminhash, op10_piece_codec)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

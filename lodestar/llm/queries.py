@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact_dedup, hilbert_packing, html_extract, interp_lm, piece_codec, toxicity, url_filter, warc
+from . import bagminhash, exact_dedup, hilbert_packing, html_extract, interp_lm, piece_codec, projection_neardup, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_projection_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_neardup.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +61,21 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_packing, op3_toxicity, op4_exact_dedup, op5_warc, op6_url_language_models, op7_html_extract, op8_interpolated_lm, op9_bagminhash, op10_piece_codec)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_projection_neardup,
+        op2_hilbert_packing,
+        op3_toxicity,
+        op4_exact_dedup,
+        op5_warc,
+        op6_url_language_models,
+        op7_html_extract,
+        op8_interpolated_lm,
+        op9_bagminhash,
+        op10_piece_codec,
+    )
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""

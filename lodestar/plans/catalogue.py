@@ -5,17 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..session import Engine
+from . import changes, groups, relations, scalars, selections
 
-def _agg_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("n"))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"agg_basic": _agg_basic}
+
+def engine(spark: SparkSession, sf_dir: str, sql: str = "") -> Engine:
+    """An engine over the tables of a folder (only those that ``sql`` names)."""
+    out = Engine(spark)
+    for name in TABLES:
+        if not sql or name in sql:
+            out.read_parquet(name, f"{sf_dir}/{name}.parquet")
+    return out
+
+
+def _texts() -> dict[str, str | tuple[str, str]]:
+    return selections.QUERIES | relations.QUERIES | groups.QUERIES | scalars.QUERIES
+
+
+def _query(sql: str) -> Query:
+    return lambda spark, sf_dir: engine(spark, sf_dir, sql).sql(sql)
+
+
+def queries() -> dict[str, Query]:
+    """Name → query over (session, folder of tables)."""
+    out: dict[str, Query] = {name: _query(sql if isinstance(sql, str) else sql[0]) for name, sql in _texts().items()}
+    return out | {name: (lambda spark, sf_dir, f=f: f(engine(spark, sf_dir))) for name, (f, _) in changes.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"agg_basic": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n FROM lineitem GROUP BY 1, 2"}
+    """Name → DuckDB SQL with the same columns and rows."""
+    out = {name: sql if isinstance(sql, str) else sql[1] for name, sql in _texts().items()}
+    return out | {name: sql for name, (_, sql) in changes.QUERIES.items() if sql}

@@ -14,7 +14,9 @@ from .dialect.parser import Node, Parser
 from .errors import SqlError, translated
 from .functions import jsonops
 from .operators.recursive import fixpoint
+from .sources.copying import insert as copy_rows
 from .sources.shipping import importable
+from .streaming.notifications import BUS
 
 #: Settings under which Spark's semantics are PostgreSQL's.
 SETTINGS = {
@@ -43,16 +45,10 @@ class Engine:
         self._kinds: dict[str, str | None] = {}
         self._json = False
         self._views = 0
+        self.bus = BUS
 
     # relations
 
-    def register(self, name: str, df: DataFrame) -> None:
-        """Make a frame of this engine's or the same application's session readable by name."""
-        if df.sparkSession is not self.spark:
-            df = DataFrame(self.spark._jsparkSession.getClass() and df._jdf, self.spark)
-        df.createOrReplaceTempView(name)
-        self._kinds.clear()
-
     def read_parquet(self, name: str, path: str) -> None:
         self.spark.read.parquet(path).createOrReplaceTempView(name)
         self._kinds.clear()
@@ -132,6 +128,20 @@ class Engine:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "status string")
 
+    def copy_in(self, table: str, lines: list[str], columns: list[str] | None = None, **options: str) -> None:
+        """COPY table FROM STDIN with the given lines."""
+        from .sources import copying
+        from .sources.scratch import new_path
+
+        path = new_path(self.spark, "copy")
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        names = columns or [c.name for c in self.catalog.table(table).columns if c.generated is None]
+        copy_rows(self.catalog, table, names, copying.read(self.catalog, path, names, options))
+
+    def notifications(self) -> list[tuple[str, str]]:
+        """What has been notified on this engine's channels since the last call."""
+        return self.bus.take(self)
+
     def explain(self, text: str) -> str:
         return self.sql(text)._jdf.queryExecution().toString()
 

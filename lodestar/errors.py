@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class SqlError(Exception):
     def __init__(self, state: str, message: str):
@@ -33,7 +35,8 @@ STATES = {
 
 def translated(problem: Exception) -> SqlError | None:
     """A Spark error as one with PostgreSQL's SQLSTATE, where one is known."""
-    name = getattr(problem, "getCondition", lambda: None)() or getattr(problem, "getErrorClass", lambda: None)() or ""
+    found = re.search(r"\[([A-Z][A-Z_]+)", str(problem))
+    name = found[1] if found else ""
     for start, state in STATES.items():
         if name.startswith(start):
             return SqlError(state, str(problem).split("\n")[0])

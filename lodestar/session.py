@@ -46,6 +46,7 @@ class Engine:
         self._json = False
         self._views = 0
         self.bus = BUS
+        self.notices: list[tuple[str, str]] = []  # what RAISE has reported: level and message
 
     # relations
 
@@ -147,8 +148,16 @@ class Engine:
 
     def collect(self, text: str, params: list | None = None) -> list[tuple]:
         """The rows of a query; runtime errors come with PostgreSQL's SQLSTATE."""
+        return self._rows(lambda: self.sql(text, params))
+
+    def collect_frame(self, spark_sql: str) -> list[tuple]:
+        """The rows of a lowered query."""
+        return self._rows(lambda: self.frame(spark_sql))
+
+    @staticmethod
+    def _rows(make) -> list[tuple]:
         try:
-            return [tuple(r) for r in self.sql(text, params).collect()]
+            return [tuple(r) for r in make().collect()]
         except SqlError:
             raise
         except Exception as problem:

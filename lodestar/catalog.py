@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .dialect.lower import Lowering, Scope, literal, quoted
 from .dialect.parser import Node, Parser
 from .errors import SqlError
+from .procedural import triggers
 from .sources import copying, information
 from .sources.scratch import new_path, stored
 
@@ -88,9 +89,10 @@ class State:
     domains: dict[str, Node] = field(default_factory=dict)
     functions: dict[str, list[Node]] = field(default_factory=dict)
     schemas: set[str] = field(default_factory=lambda: {"public"})
+    triggers: dict[str, list[Node]] = field(default_factory=dict)
 
     def copied(self) -> State:
-        return State(*(copy.copy(getattr(self, f)) for f in ("tables", "views", "enums", "domains", "functions", "schemas")))
+        return State(*(copy.copy(getattr(self, f)) for f in ("tables", "views", "enums", "domains", "functions", "schemas", "triggers")))
 
 
 class Catalog:
@@ -260,15 +262,27 @@ class Catalog:
     def do_insert(self, node, params):
         table = self.table(node.table)
         targets = node.columns or [c.name for c in table.columns][: self._width(node.source)]
-        delta = stored(self._incoming(table, node, targets, params), "delta")
+        triggers.statement(self, table, "before", "insert")
+        delta = self._incoming(table, node, targets, params)
+        if self.state.triggers.get(table.name):
+            shown = triggers.before(self, table, "insert", delta.select(F.struct("*").alias("new"), _nothing(table)))
+            delta = self._generated(table, shown.select("new.*"))
+        delta = stored(delta, "delta")
         self._checked(table, delta)
         if node.conflict:
             return self._upsert(table, node, delta, params)
         after = replace(table, files=(*table.files, self._write(delta, table)))
         self._unique(after)
         self._put(after)
+        self._fired(table, "insert", delta.select(F.struct("*").alias("new"), _nothing(table)))
         return self._returning(table, node.alias or table.name, node.returning, delta, params)
 
+    def _fired(self, table: Table, event: str, rows: DataFrame, assigned: set[str] | None = None) -> None:
+        """AFTER triggers of an event."""
+        if self.state.triggers.get(table.name):
+            triggers.after(self, table, event, rows, assigned)
+            triggers.statement(self, table, "after", event, assigned)
+
     @staticmethod
     def _width(source: Node | None) -> int | None:
         body = source.body if source is not None and source.kind == "query" else source
@@ -414,10 +428,7 @@ class Catalog:
             fields = [quoted(c.name) for c in table.columns]
             df = df.groupBy("__rid").agg(F.min(F.struct(*fields)).alias("__row")).select("__rid", "__row.*")
         rid = df.select("__rid", *[quoted(c.name) for c in table.columns])
-        if any(c.generated is not None for c in table.columns):
-            made = {c.name: f"CAST({self._test(table, c.generated)} AS {c.spark})" for c in table.columns if c.generated is not None}
-            rid = rid.selectExpr("__rid", *(f"{made.get(c.name, quoted(c.name))} AS {quoted(c.name)}" for c in table.columns))
-        return stored(rid, "changed")
+        return stored(self._regenerated(table, rid), "changed")
 
     @staticmethod
     def _part(value: Node, i: int) -> Node:
@@ -458,8 +469,18 @@ class Catalog:
     def do_update(self, node, params):
         table = self.table(node.table)
         alias = node.alias or table.name
+        assigned = {name for names, _ in node.assign for name in names}
+        triggers.statement(self, table, "before", "update", assigned)
         scope = self._target(table, alias, node.source, node.ctes, params)
         changed = self._changed(table, alias, node.assign, scope, node.where, params)
+        fields = [quoted(c.name) for c in table.columns]
+        both = None
+        if self.state.triggers.get(table.name):
+            was = self.frame(table, rid=True).select("__rid", F.struct(*fields).alias("old"))
+            both = changed.select("__rid", F.struct(*fields).alias("new")).join(was, "__rid")
+            both = triggers.before(self, table, "update", both, assigned)
+            both = stored(both, "both")
+            changed = stored(self._regenerated(table, both.select("__rid", "new.*")), "changed")
         rows = changed.drop("__rid")
         if not changed.isEmpty():
             self._checked(table, rows)
@@ -468,19 +489,31 @@ class Catalog:
             self._unique(after)
             before = old.join(changed.withColumnsRenamed({c.name: f"__new_{c.name}" for c in table.columns}), "__rid")
             self._put(after)
-            self._referenced(after, before, {name for names, _ in node.assign for name in names})
+            self._referenced(after, before, assigned)
+        if both is not None:
+            self._fired(table, "update", both.select("new", "old"), assigned)
         return self._returning(table, alias, node.returning, rows, params)
 
+    def _regenerated(self, table: Table, rid: DataFrame) -> DataFrame:
+        made = {c.name: f"CAST({self._test(table, c.generated)} AS {c.spark})" for c in table.columns if c.generated is not None}
+        return rid.selectExpr("__rid", *(f"{made.get(c.name, quoted(c.name))} AS {quoted(c.name)}" for c in table.columns)) if made else rid
+
     def do_delete(self, node, params):
         table = self.table(node.table)
         alias = node.alias or table.name
         scope = self._target(table, alias, node.source, node.ctes, params)
+        triggers.statement(self, table, "before", "delete")
         low = self.low(params)
         test = f" WHERE {low.expr(node.where, scope)}" if node.where is not None else ""
         gone = stored(self.engine.frame(f"SELECT DISTINCT {quoted(alias)}.__rid AS __rid FROM {scope.source}{test}"), "gone")
         old = self.frame(table, rid=True)
+        if self.state.triggers.get(table.name):
+            fields = [quoted(c.name) for c in table.columns]
+            shown = old.join(gone, "__rid").select("__rid", _nothing(table, "new"), F.struct(*fields).alias("old"))
+            gone = stored(triggers.before(self, table, "delete", shown).select("__rid"), "gone")
         rows = stored(old.join(gone, "__rid").drop("__rid"), "deleted")
         self._remove(table, gone)
+        self._fired(table, "delete", rows.select(_nothing(table, "new"), F.struct("*").alias("old")))
         return self._returning(table, alias, node.returning, rows, params)
 
     def _remove(self, table: Table, gone: DataFrame) -> None:
@@ -673,6 +706,8 @@ class Catalog:
         for name in node.names:
             if node.what == "schema":
                 self.state.schemas.discard(name)
+            elif node.what == "trigger":
+                self.state.triggers[node.table] = [t for t in self.state.triggers.get(node.table, []) if t.name != name]
             elif node.what == "index":
                 for t in list(self.state.tables.values()):
                     self.state.tables[t.name] = replace(t, indexes=tuple(i for i in t.indexes if i[0] != name))
@@ -689,6 +724,7 @@ class Catalog:
                     self.engine.spark.catalog.dropTempView(name)
                 if node.what in ("function", "procedure") and where[name][-1].language == "sql":
                     self.engine.frame(f"DROP TEMPORARY FUNCTION IF EXISTS {quoted(name)}")
+                    self.state.triggers.pop(name, None)
                 del where[name]
         self.engine._kinds.clear()
 
@@ -889,13 +925,21 @@ class Catalog:
         return call_procedure(self.engine, node.call, params)
 
     def do_create_trigger(self, node, params):
-        raise SqlError("0A000", "triggers are not supported")
+        self.table(node.table)
+        if node.when == "instead of":
+            raise SqlError("0A000", "INSTEAD OF triggers are not supported")
+        self.state.triggers[node.table] = [*(t for t in self.state.triggers.get(node.table, []) if t.name != node.name), node]
 
 
 class Raw(str):
     """SQL that stands for a parameter as it is."""
 
 
+def _nothing(table: Table, name: str = "old"):
+    """The null struct that stands for the row that an event does not have."""
+    return F.lit(None).cast(f"struct<{', '.join(f'{quoted(c.name)}: {c.spark}' for c in table.columns)}>").alias(name)
+
+
 def _places(df: DataFrame):
     """The place of each row of a stored frame, from 0, without bringing rows together."""
     counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # one number a partition

@@ -115,6 +115,14 @@ QUERIES: dict[str, tuple[Callable[[Engine], DataFrame], str]] = {
     "copy_to_lines": (_script("COPY (SELECT n_nationkey, n_name, nullif(n_regionkey, 1) FROM nation) TO STDOUT WITH (FORMAT csv, DELIMITER ';')"), "SELECT n_nationkey || ';' || n_name || ';' || coalesce(nullif(n_regionkey, 1)::text, '') AS data FROM nation"),
     "tx_savepoint": (_savepoints, "SELECT n_nationkey AS k, n_regionkey AS r, CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END AS n FROM nation WHERE n_nationkey < 15 AND n_regionkey <> 1"),
     "udf_sql": (_script("CREATE FUNCTION taxed(price double precision, rate double precision DEFAULT 0.1) RETURNS double precision LANGUAGE sql AS $$ SELECT price * (1 + rate) $$; SELECT p_partkey AS k, round(taxed(p_retailprice), 2) AS a, round(taxed(p_retailprice, rate => 0.5), 2) AS b FROM part"), "SELECT p_partkey AS k, round(p_retailprice * (1 + 0.1::double), 2) AS a, round(p_retailprice * (1 + 0.5::double), 2) AS b FROM part"),
+    "udf_plpgsql": (
+        _script("CREATE FUNCTION collatz(n bigint) RETURNS int LANGUAGE plpgsql AS $$ DECLARE s int := 0; BEGIN WHILE n > 1 LOOP IF n % 2 = 0 THEN n := n / 2; ELSE n := 3 * n + 1; END IF; s := s + 1; END LOOP; RETURN s; END $$; SELECT n_nationkey AS k, collatz(6) AS steps FROM nation"),
+        "SELECT n_nationkey AS k, 8 AS steps FROM nation",
+    ),
+    "plpgsql_block": (
+        _script(_KEYED + "DO $$ DECLARE r record; total int := 0; BEGIN FOR r IN SELECT k, n FROM nat WHERE r = 1 LOOP total := total + r.k; END LOOP; UPDATE nat SET n = total WHERE k < 3; EXCEPTION WHEN division_by_zero THEN NULL; END $$; SELECT k AS k, n AS n FROM nat"),
+        "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 3 THEN (SELECT sum(n_nationkey) FROM nation WHERE n_regionkey = 1 AND n_nationkey < 15)::int ELSE 0 END AS n FROM nation WHERE n_nationkey < 15",
+    ),
     "udtf_table": (_script("CREATE FUNCTION below(n int) RETURNS TABLE (k int, name text) LANGUAGE sql AS $$ SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < n $$; SELECT k AS k, name AS name FROM below(6)"), "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey < 6"),
     "udaf_custom": (_udaf, "SELECT c_nationkey AS k, round(list_sort(list(c_acctbal), 'DESC')[2], 2) AS v FROM customer GROUP BY c_nationkey HAVING count(*) > 1"),
     "prepare_execute": (_prepared, "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'"),

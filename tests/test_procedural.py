@@ -53,3 +53,31 @@ def test_handlers_undo_the_block(engine):
 def test_cursor(engine):
     engine.sql("DO $$ DECLARE c CURSOR FOR SELECT g FROM generate_series(1, 3) AS s(g); x int; s int := 0; BEGIN OPEN c; LOOP FETCH c INTO x; EXIT WHEN NOT found; s := s + x; END LOOP; CLOSE c; RAISE INFO '%', s; END $$")
     assert engine.notices == [("info", "6")]
+
+
+def test_row_triggers_change_and_log(engine):
+    engine.sql("CREATE TABLE t (k int PRIMARY KEY, v text, n int DEFAULT 0); CREATE TABLE log (op text, k int, was text, now_ text)")
+    engine.sql("CREATE FUNCTION tidy() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN IF NEW.v = 'skip' THEN RETURN NULL; END IF; NEW.v := upper(NEW.v); IF TG_OP = 'UPDATE' THEN NEW.n := OLD.n + 1; END IF; RETURN NEW; END $$")
+    engine.sql("CREATE FUNCTION note() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN IF TG_OP = 'DELETE' THEN INSERT INTO log VALUES (TG_OP, OLD.k, OLD.v, NULL); ELSE INSERT INTO log VALUES (TG_OP, NEW.k, OLD.v, NEW.v); END IF; RETURN NULL; END $$")
+    engine.sql("CREATE TRIGGER a BEFORE INSERT OR UPDATE ON t FOR EACH ROW EXECUTE FUNCTION tidy()")
+    engine.sql("CREATE TRIGGER b AFTER INSERT OR UPDATE OR DELETE ON t FOR EACH ROW EXECUTE FUNCTION note()")
+    engine.sql("INSERT INTO t (k, v) VALUES (1, 'a'), (2, 'skip'), (3, 'c')")
+    engine.sql("UPDATE t SET v = 'z' WHERE k = 1")
+    engine.sql("DELETE FROM t WHERE k = 3")
+    assert engine.collect("SELECT k, v, n FROM t") == [(1, "Z", 1)]
+    assert sorted(engine.collect("SELECT * FROM log"), key=str) == [("DELETE", 3, "C", None), ("INSERT", 1, None, "A"), ("INSERT", 3, None, "C"), ("UPDATE", 1, "A", "Z")]
+
+
+def test_trigger_conditions_exceptions_and_statements(engine):
+    engine.sql("CREATE TABLE t (k int, v int); CREATE TABLE runs (n int)")
+    engine.sql("CREATE FUNCTION check_() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN IF NEW.v < 0 THEN RAISE EXCEPTION 'negative' USING ERRCODE = 'check_violation'; END IF; RETURN NEW; END $$")
+    engine.sql("CREATE FUNCTION count_() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN INSERT INTO runs SELECT count(*) FROM t; RETURN NULL; END $$")
+    engine.sql("CREATE TRIGGER a BEFORE INSERT ON t FOR EACH ROW WHEN (NEW.k > 1) EXECUTE FUNCTION check_()")
+    engine.sql("CREATE TRIGGER b AFTER INSERT ON t EXECUTE FUNCTION count_()")
+    engine.sql("INSERT INTO t VALUES (1, -1), (2, 2)")
+    with pytest.raises(SqlError) as caught:
+        engine.sql("INSERT INTO t VALUES (3, -3)")
+    assert (caught.value.state, caught.value.message) == ("23514", "negative")
+    assert engine.collect("SELECT n FROM runs") == [(2,)]
+    engine.sql("DROP TRIGGER b ON t; INSERT INTO t VALUES (5, 5)")
+    assert engine.collect("SELECT count(*) AS n FROM runs") == [(1,)]

@@ -8,9 +8,9 @@ shingles costs about n + m log m points for m slots.  Two signatures agree in a
 the weighted Jaccard similarity.  Slots are banded; texts that share a band are candidates; candidates are
 verified by the exact overlap of their multisets.
 
-Copies (equal word sequences) are one node.  Within a band's bucket members are compared with pivots, pivot
-after pivot in blocks that double, and only across different classes: once a bucket's members are in one class
-nothing more is compared, and no link between different classes is skipped.
+Copies (equal word sequences) are one node.  Within a band's bucket every member is first compared with one of
+them, and then, across the classes that this leaves, with every other member of another class; members of one
+class need no comparison, and no link between different classes is skipped.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer words than a
 shingle is one shingle; rows without id take part and get the class of their text (null if no member has an
@@ -25,15 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._components import components
+from ._groups import by_group
 from ._scratch import fresh, join_keys, written
 from ._text import chunks, mix, sequence_keys, shingles, words
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
+#: Standard deviations of a signature's estimate that a pair to be verified may lie below the similarity.
+SLACK = 3.2
+#: Members of a bucket that are compared in one piece.
+BLOCK_ROWS = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -109,20 +113,23 @@ def _sign(width: int, n_bands: int, rows: int):
                 shingle, text = shingles(hashes, begins, width)
                 size = np.bincount(text, minlength=len(part)).astype(np.int64)
                 parts = multisets(shingle, text)
-                key = bands(signatures(*parts, len(part), n_bands * rows), n_bands, rows)
+                signature = signatures(*parts, len(part), n_bands * rows)
+                key = bands(signature, n_bands, rows)
+                codes = (mix(signature.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
                 columns = [
                     ids.slice(part.first, len(part)),
                     pa.array(_key_bytes(hashes, begins), pa.binary()),
                     pa.array(size),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n_bands), pa.array(key.ravel())),
+                    pa.array([c.tobytes() for c in codes], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bands", "codes"])
 
     return run
 
 
 def _replicas(width: int):
-    """Per text its node and one 64-bit number for each element and occurrence, so that sets stand for multisets."""
+    """Per text its node and a sorted number for each element and occurrence, so that sets stand for multisets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +139,9 @@ def _replicas(width: int):
                 at, element, weight = multisets(shingle, text)
                 again = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 items = mix(np.repeat(element, weight) + again.astype(np.uint64) * _GOLDEN).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(at, weight), minlength=len(part)))]).astype(np.int32)
+                owner = np.repeat(at, weight)
+                items = items[np.lexsort((items, owner))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))]).astype(np.int32)
                 columns = [pa.array(_key_bytes(hashes, begins), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "items"])
 
@@ -149,11 +158,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), class_size, kept."""
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, node binary, size long, bands array<long>"
+    schema = "doc_id long, node binary, size long, bands array<long>, codes binary"
     signed = written(docs.mapInArrow(_sign(width, n_bands, rows), schema), "signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("codes").alias("codes"))
     nodes = written(nodes, "nodes")
-    labels = _labels(docs, nodes, width, similarity)
+    labels = _labels(docs, nodes, width, n_bands, similarity)
     member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     member = member.groupBy("label", "doc_id").agg(F.count("*").alias("n"))
     total = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
@@ -164,34 +173,128 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     )
 
 
-def _labels(docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, label) of the nodes that are linked to others."""
-    rows = nodes.filter("size > 0").select("node", "size", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").count().filter("count > 1").select("bucket")
-    order = Window.partitionBy("bucket").orderBy("node")
-    members = written(rows.join(shared, "bucket").withColumn("rank", F.row_number().over(order)), "members")
-    ids = nodes.join(members.select("node").distinct(), "node", "left_semi").select("first_id")
-    ids = written(ids, "ids")
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sorted by bucket and node) whose bucket has another row, with the bucket's first node."""
+    names = ["bucket", "node", "size", "first"]
+    held: pa.RecordBatch | None = None  # the last row, until it is known whether another follows
+    bucket_before, first = None, None
+    for batch in _then_none(batches):
+        rows = [held] if held is not None else []
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            rows.append(batch)
+        if not rows:
+            return
+        all_ = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        keys = all_.column(0).to_numpy()
+        begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+        start = np.flatnonzero(begins)
+        node = all_.column(1)
+        leader = node.take(pa.array(start[np.cumsum(begins) - 1]))
+        lead_run = np.cumsum(begins) == 1
+        carried = bucket_before is not None and keys[0] == bucket_before
+        if carried:  # the first run goes on from rows that are gone
+            leader = pa.array([first if r else v for r, v in zip(lead_run.tolist(), leader.to_pylist(), strict=True)], pa.binary())
+        last = len(keys) if batch is None else len(keys) - 1
+        several = ~begins | np.concatenate([keys[:-1] == keys[1:], [False]]) | (lead_run & carried)
+        use = pa.array(np.flatnonzero(several[:last]))
+        yield pa.RecordBatch.from_arrays([all_.column(i).take(use) for i in range(3)] + [leader.take(use)], names)
+        if batch is None:
+            return
+        held = all_.slice(last)
+        if last:
+            bucket_before, first = (keys[last], leader[last].as_py()) if keys[last] == keys[last - 1] else (None, None)
+
+
+def _then_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
+def _across(n_bands: int, similarity: float):
+    """Links between different classes of a bucket: pairs whose signatures make the similarity possible, verified."""
+
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        column = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+        group, size, block = (column[n].to_numpy() for n in ("group", "size", "block"))
+        diagonal = column["diagonal"].to_numpy(zero_copy_only=False)
+        band = column["band"].to_numpy()
+        _, label = np.unique(np.array(column["label"].to_pylist(), "S16"), return_inverse=True)
+        node = column["node"].to_pylist()
+        codes = np.frombuffer(b"".join(column["codes"].to_pylist()), np.uint8).reshape(len(node), -1)
+        least = similarity - SLACK * (similarity * (1 - similarity) / codes.shape[1]) ** 0.5
+        keys = column["bands"].flatten().to_numpy().reshape(len(node), n_bands).astype(np.int32)
+        items = column["items"].flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size)])
+        leader = list(range(label.max() + 1))
+
+        def find(x: int) -> int:
+            while leader[x] != x:
+                leader[x] = x = leader[leader[x]]
+            return x
+
+        def alike(i: int, j: int) -> bool:
+            a, b = items[ends[i] : ends[i + 1]], items[ends[j] : ends[j + 1]]
+            shared = (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()
+            return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+        last = np.searchsorted(group, group, "right")
+        left, step, found = np.arange(len(node)), 0, []
+        while True:
+            step += 1
+            left = left[left + step < last[left]]
+            if not len(left):
+                break
+            for part in np.array_split(left, max(1, len(left) // 20_000)):
+                other = part + step
+                use = (label[part] != label[other]) & (diagonal[part] | (block[part] != block[other]))
+                use &= np.minimum(size[part], size[other]) >= (similarity - 1e-9) * np.maximum(size[part], size[other])
+                part, other = part[use], other[use]
+                like = (codes[part] == codes[other]).mean(axis=1) >= least
+                part, other = part[like], other[like]
+                once = (keys[part] == keys[other]).argmax(axis=1) == band[part]
+                for i, j in zip(part[once].tolist(), other[once].tolist(), strict=True):
+                    x, y = find(label[i]), find(label[j])
+                    if x != y and alike(i, j):  # classes that links of this piece have joined need no more of them
+                        leader[x] = y
+                        found.append(tuple(sorted((node[i], node[j]))))
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+
+    return by_group(solve)
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, width: int, n_bands: int, similarity: float) -> DataFrame:
+    """(node, label) of the nodes that are linked to others.
+
+    First every member of a bucket is compared with the bucket's first node.  Most near copies are in one class
+    then; what is left are pairs of a bucket in different classes, which are all looked at (large buckets as
+    pairs of blocks), and verified where their signatures agree on nearly enough slots.
+    """
+    rows = nodes.filter("size > 0").select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
+    sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    members = written(sorted_.mapInArrow(_shared, "bucket long, node binary, size long, first binary"), "members")
+    own = members.select("node").distinct()
+    ids = written(nodes.join(own, "node", "left_semi").select("first_id"), "ids")
     texts = join_keys(docs.filter("doc_id IS NOT NULL"), ids, F.col("doc_id") == F.col("first_id")).unionByName(docs.filter("doc_id IS NULL"))
     sets = texts.select("text").mapInArrow(_replicas(width), "node binary, items array<long>").dropDuplicates(["node"])
     sets = written(sets, "sets")
-    labels, low = None, 1
-    known = members
-    while True:
-        high = 2 * low - 1
-        pivot = known.filter(F.col("rank").between(low, high)).select("bucket", F.col("node").alias("a"), F.col("size").alias("n"), F.col("rank").alias("r"), *([F.col("label").alias("l")] if labels is not None else []))
-        pairs = known.join(pivot, "bucket").filter("rank > r AND least(n, size) >= " + f"{similarity - 1e-9} * greatest(n, size)")
-        if labels is not None:
-            pairs = pairs.filter("label <> l")
-        pairs = written(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-        links = written(_verified(pairs, sets, similarity), "links")
-        labels = _joined(labels, links)
-        known = known.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("rank").alias("last")).filter(f"least <> most AND last > {high + 1}")
-        known = written(known.join(open_.select("bucket"), "bucket", "left_semi"), "open")
-        if known.isEmpty():
-            return labels
-        low = high + 1
+    star = written(members.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "pairs")
+    labels = _joined(None, written(_verified(star, sets, similarity), "links"))
+    known = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = written(known, "known")
+    open_ = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows")).filter("least <> most AND rows > 2")
+    open_ = written(open_.select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
+    if open_.isEmpty():
+        return labels
+    left = known.join(open_, "bucket")
+    detail = nodes.join(written(left.select("node").distinct(), "left"), "node").select("node", "size", "codes", "bands")
+    left = left.join(detail.join(sets, "node"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with")))
+    dealt = left.select(group.alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "band", "node", "size", "label", "codes", "bands", "items")
+    links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_across(n_bands, similarity), "a binary, b binary")
+    return _joined(labels, written(links.distinct(), "links"))
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -1,67 +1,17 @@
-"""Intermediate tables that cut lineage, kept in the folder that the whole cluster shares.
-
-A table is written as Parquet below ``spark.checkpoint.dir`` and read back, so a lost executor costs the
-tasks it was running and nothing that earlier stages had finished.  A local folder is used only where the
-session names none, as in tests.
-"""
+"""Stored intermediate tables, and joins with key tables that are sent to all executors only below a counted size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from ..sources.scratch import new_path
+from ..sources.scratch import stored as written
 
 #: Rows of at most 16 bytes of key that may be sent to every executor; more rows are joined by a shuffle.
 SMALL_ROWS = 500_000
 
 
-def base_dir(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing has used; it is deleted when the process ends."""
-    path = f"{base_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` computed once and stored; the returned frame reads the stored table."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a path through the file system that it names."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _WRITTEN:
-        if spark.sparkContext._jsc is None:
-            continue
-        try:
-            drop(spark, path)
-        except Exception:  # the JVM may have gone first; its folder belongs to the cluster then
-            return
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -78,3 +28,6 @@ def small_enough(keys: DataFrame, rows: int = SMALL_ROWS) -> bool:
 def join_keys(big: DataFrame, keys: DataFrame, on, how: str = "left_semi", rows: int = SMALL_ROWS) -> DataFrame:
     """Join a wide table with a stored key table: broadcast below a counted bound, else by shuffle."""
     return big.join(F.broadcast(keys) if small_enough(keys, rows) else keys.hint("merge"), on, how)
+
+
+__all__ = ["fresh", "join_keys", "new_path", "small_enough", "written"]

@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Scorer:
         return train([], np.zeros(0, bool))
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r[0], int(r[1] > 0)) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text"), "text", "toxic").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "toxic").toArrow()
+    rows = rows.sort_by([("text", "ascending"), ("toxic", "ascending")])  # so that the fit does not depend on the order of rows
     return train([x or "" for x in rows.column(0).to_pylist()], rows.column(1).to_numpy() > 0)
 
 

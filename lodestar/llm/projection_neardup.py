@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._groups import by_group
 from ._scratch import written
 from ._text import mix
 
@@ -98,8 +99,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1).cast(pa.list_(pa.float64()))], ["vec_id", "node", "vector"])
 
 
-def _cells(plan: Plan):
-    """node, vector and the keys of its cell in every bundle."""
+def _cells(plan: Plan, kind: str):
+    """node, vector (numbers of ``kind``), and the keys of its cells in all bundles, whole and shortened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +113,10 @@ def _cells(plan: Plan):
                 key = np.tile(mix(np.arange(1, plan.bundles + 1, dtype=np.uint64) * np.uint64(size)), (len(unit), 1))
                 for k in range(plan.width):
                     key = mix(key * np.uint64(3) + cell[:, :, k])
-                packed = pa.array([v.tobytes() for v in vectors], pa.binary())
+                packed = pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
+                short = pa.array([k.tobytes() for k in key.astype(np.int32)], pa.binary())
                 ends = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * plan.bundles)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), packed, pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["node", "vector", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), packed, short, pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["node", "vector", "codes", "cells"])
 
     return run
 
@@ -124,7 +126,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _pairs(plan: Plan, cosine: float):
+def _pairs(plan: Plan, cosine: float, kind: str):
     """Verified pairs of each group; rows come sorted by group."""
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,13 +134,13 @@ def _pairs(plan: Plan, cosine: float):
         column = {n: rows.column(i) for i, n in enumerate(names)}
         group = column["group"].to_numpy()
         block, diagonal, bundle = (column[n].to_numpy(zero_copy_only=False) for n in ("block", "diagonal", "bundle"))
-        cells = column["cells"].flatten().to_numpy().reshape(len(group), plan.bundles).astype(np.int32)
+        codes = np.frombuffer(b"".join(column["codes"].to_pylist()), np.int32).reshape(len(group), plan.bundles)
         node = column["node"].to_pylist()
-        size = np.array([len(v) for v in column["vector"].to_pylist()]) // 8
+        size = pc.binary_length(column["vector"]).to_numpy() // np.dtype(kind).itemsize
         found: list[tuple[bytes, bytes]] = []
         for s in np.unique(size):
             at = np.flatnonzero(size == s)
-            unit = _unit(np.frombuffer(b"".join(column["vector"].take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), s))
+            unit = _unit(np.frombuffer(b"".join(column["vector"].take(pa.array(at)).to_pylist()), kind).reshape(len(at), s).astype(float))
             lead = np.einsum("ij,ji->i", unit, lines(s, plan.bundles * plan.width, 1)[:, bundle[at] * plan.width]) if len(at) else np.zeros(0)
             order = np.lexsort((lead, group[at]))
             at, unit, lead = at[order], unit[order], lead[order].astype(np.float32)
@@ -162,43 +164,24 @@ def _pairs(plan: Plan, cosine: float):
                     if len(part):
                         true = np.einsum("ij,ij->i", unit[part], unit[other]) >= cosine - 1e-12
                         part, other = part[true], other[true]
-                        first = (cells[at[part]] == cells[at[other]]).argmax(axis=1) == bundle[at[part]]
+                        first = (codes[at[part]] == codes[at[other]]).argmax(axis=1) == bundle[at[part]]
                         found += [tuple(sorted((node[i], node[j]))) for i, j in zip(at[part[first]].tolist(), at[other[first]].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 4000):
-                piece = batch.slice(begin, 4000)
-                held.append(piece)
-                if sum(h.num_rows for h in held) < 4000:
-                    continue
-                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                group = rows.column(rows.schema.get_field_index("group")).to_numpy()
-                cut = int(np.searchsorted(group, group[-1], "left"))
-                if cut:
-                    yield solve(rows.slice(0, cut))
-                    held = [rows.slice(cut)]
-                else:
-                    held = [rows]
-        if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    return run
+    return by_group(solve)
 
 
-def links(nodes: DataFrame, plan: Plan, cosine: float = COSINE) -> DataFrame:
-    """Linked pairs (a, b) of distinct vectors (node, vector)."""
-    stored = written(nodes.select("node", "vector").mapInArrow(_cells(plan), "node binary, vector binary, cells array<long>"), "cells")
-    placed = stored.select("node", "vector", "cells", F.posexplode("cells").alias("bundle", "cell"))
+def links(nodes: DataFrame, plan: Plan, cosine: float = COSINE, kind: str = "f8") -> DataFrame:
+    """Linked pairs (a, b) of distinct vectors (node, vector), whose numbers ``kind`` holds exactly."""
+    stored = written(nodes.select("node", "vector").mapInArrow(_cells(plan, kind), "node binary, vector binary, codes binary, cells array<long>"), "cells")
+    placed = stored.select("node", "vector", "codes", F.posexplode("cells").alias("bundle", "cell"))
     counts = stored.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / CELL_ROWS).cast("int")
     dealt = placed.join(counts.select("cell", blocks.alias("blocks")), "cell")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "with"), F.greatest("block", "with")
-    grouped = dealt.select(F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "bundle", "node", "vector", "cells")
-    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_pairs(plan, cosine), "a binary, b binary")
+    grouped = dealt.select(F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "bundle", "node", "vector", "codes")
+    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_pairs(plan, cosine, kind), "a binary, b binary")
 
 
 def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -206,7 +189,8 @@ def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL)
     named = written(vectors.select("vec_id", "embedding").mapInArrow(_named, "vec_id long, node binary, vector array<double>"), "named")
     nodes = written(named.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "nodes")
     plan = Plan.calibrated(nodes.count(), cosine, recall)
-    found = written(links(nodes, plan, cosine), "links")
+    kind = "f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "f8"
+    found = written(links(nodes, plan, cosine, kind), "links")
     both = found.union(found.select("b", "a"))
     size = nodes.select(F.col("node").alias("b"), "copies")
     near = both.join(size, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))

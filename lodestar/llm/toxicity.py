@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,13 +88,13 @@ class Scorer:
         return -np.expm1(np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(part)))
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, decay: float = 2e-5) -> Scorer:
+def train(texts: list[str] | pa.Array, toxic: np.ndarray, rounds: int = 120, decay: float = 2e-5) -> Scorer:
     """Maximise the likelihood of document labels under the noisy-or (Adam over all bags)."""
     weights = np.zeros(BUCKETS, np.float32)
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Scorer(weights, -30.0)
-    column = pa.array(texts, pa.string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     chosen = _telling(column, toxic)
     if not len(chosen):
         return Scorer(weights, -30.0)
@@ -128,20 +129,20 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 120, decay: float =
 
 def _telling(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
     """Features by how far their presence in documents separates the classes (chi-square), best first."""
-    with_pos, with_neg = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    with_pos, with_neg = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for chunk in chunks(column):
         found, sentence, text, _ = features(chunk)
         pair = np.unique((text[sentence] + chunk.first) * BUCKETS + found)
         at, found = pair // BUCKETS, pair % BUCKETS
-        with_pos += np.bincount(found[toxic[at]], minlength=BUCKETS)
-        with_neg += np.bincount(found[~toxic[at]], minlength=BUCKETS)
+        np.add.at(with_pos, found[toxic[at]], 1)
+        np.add.at(with_neg, found[~toxic[at]], 1)
     n_pos, n_neg = toxic.sum(), (~toxic).sum()
-    n = with_pos + with_neg
+    often = np.flatnonzero(with_pos + with_neg >= 3)
+    with_pos, n = with_pos[often].astype(float), (with_pos[often] + with_neg[often]).astype(float)
     expected = n * n_pos / (n_pos + n_neg)
-    spread = expected * n_neg / (n_pos + n_neg)
-    score = np.where(n >= 3, (with_pos - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    score = (with_pos - expected) ** 2 / (expected * n_neg / (n_pos + n_neg))
     best = np.argsort(-score, kind="stable")[:MAX_FEATURES]
-    return best[score[best] > 10.8]  # one in a thousand by chance
+    return often[best[score[best] > 10.8]]  # one in a thousand by chance
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
@@ -160,8 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Scorer:
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r[0], int(r[1] > 0)) for r in chosen], "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "toxic").toArrow()
-    rows = rows.sort_by([("text", "ascending"), ("toxic", "ascending")])  # so that the fit does not depend on the order of rows
-    return train([x or "" for x in rows.column(0).to_pylist()], rows.column(1).to_numpy() > 0)
+    toxic, texts = rows.column("toxic").to_numpy() > 0, rows.column("text").combine_chunks()
+    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
+    del rows
+    found = train(pc.fill_null(texts, ""), toxic)
+    del texts
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

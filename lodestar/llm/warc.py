@@ -8,7 +8,10 @@ separator is an empty gzip member, which every reader of concatenated members sk
 Reading: archives come as whole binary files (the writer bounds their size; give foreign ones in such parts).
 Every member or plain record is checked (gzip checksum, version line, content length, record end, payload
 digest).  After a failed check the reader searches for the next member or version line that passes, goes on
-from there, and logs the bytes between as quarantined.
+from there, and logs the bytes between as quarantined.  Within a member the search runs over its content, and the
+gap names the member's place in the file and the content's bytes.  Of a member that breaks off or fails its checksum
+the records that were decompressed and pass their own checks are kept, and the member is logged; if its only record
+passes, that record is quarantined, as the damage can only be there.
 
 Defined cases: a null payload is empty; rows without id are written and read with an empty id; repeated rows
 give repeated records (the first of equal ids is the response); an empty table gives an archive without records.
@@ -38,6 +41,8 @@ EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" + "0300" + "00000000" + "000
 VERSION = b"WARC/1."
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
+#: How zlib's messages end when a member's checksum or size differs.
+_CHECKS = ("incorrect data check", "incorrect length check")
 _DATE = "2000-01-01T00:00:00Z"  # records carry a fixed date, so that equal input gives equal archives
 
 
@@ -135,49 +140,109 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return header, payload, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at``, and its end."""
-    opener, parts, to = zlib.decompressobj(31), [], at
-    try:
-        while not opener.eof and to < len(data):
-            piece = data[to : to + (1 << 16)]
+def _inflated(opener: zlib._Decompress, piece: bytes) -> tuple[bytes, str]:
+    """What ``piece`` decompresses to, up to the first error, and the error."""
+    out, size = [], len(piece)
+    while piece:
+        before = opener.copy()
+        try:
+            out.append(opener.decompress(piece[:size]))
+            piece = piece[size:]
+        except zlib.error as problem:
+            opener = before
+            if size > 1:  # the error lies within the next ``size`` bytes
+                size //= 2
+                continue
+            rest = piece[:1]
+            try:
+                while got := opener.decompress(rest, 1):
+                    out.append(got)
+                    rest = opener.unconsumed_tail
+            except zlib.error:
+                pass
+            return b"".join(out), f"gzip member: {problem}"
+    return b"".join(out), ""
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at ``at``, its end, and why it ends early, if it does."""
+    opener, parts, to, why = zlib.decompressobj(31), [], at, ""
+    while not why and not opener.eof and to < len(data):
+        piece = data[to : to + (1 << 16)]
+        before = opener.copy()
+        try:
             parts.append(opener.decompress(piece))
-            to += len(piece)
-    except zlib.error as problem:
-        raise ValueError(f"gzip member: {problem}") from None
-    if not opener.eof:
-        raise ValueError("gzip member: truncated")
-    return b"".join(parts), to - len(opener.unused_data)
+        except zlib.error:
+            part, why = _inflated(before, bytes(piece))
+            parts.append(part)
+        to += len(piece)
+    if not why and not opener.eof:
+        why = "gzip member: truncated"
+    return b"".join(parts), to - len(opener.unused_data), why
+
+
+def _records(content: bytes) -> Found:
+    """The records of a member's content whose checks pass, and the gaps between them."""
+    found, at, bad, why = Found(), 0, None, ""
+    while at < len(content):
+        try:
+            header, payload, end = _plain(content, at)
+        except ValueError as problem:
+            if bad is None:
+                bad, why = at, str(problem)
+            at = content.find(VERSION, at + 1)
+            if at < 0:
+                break
+            continue
+        if bad is not None:
+            found.gaps.append((bad, at, why))
+            bad = None
+        found.records.append((at, header, payload))
+        at = end
+    if bad is not None:
+        found.gaps.append((bad, len(content), why))
+    return found
 
 
 def read_archive(data: bytes) -> Found:
     """All records of an archive whose checks pass, and the gaps between them."""
     found, at, bad, why = Found(), 0, None, ""
     view = memoryview(data)
+    broken, upto = b"", 0  # the content of the last member that gave records and ends early, and how far it was read
     while at < len(data):
         if bad is None and data.startswith(EMPTY_MEMBER, at):
             at += len(EMPTY_MEMBER)
             continue
-        try:
-            if data.startswith(_MEMBER, at):
-                content, end = _member(view, at)
-                inner, records = 0, []
-                while inner < len(content):
-                    header, payload, inner = _plain(content, inner)
-                    records.append((at, header, payload))
-            else:
+        inside, problem = Found(), ""
+        if data.startswith(_MEMBER, at):
+            content, end, problem = _member(view, at)
+            inside = _records(content)
+            if problem.endswith(_CHECKS) and len(inside.records) == 1 and not inside.gaps:
+                inside = Found()  # the damage can only be in this record
+            if not problem and not inside.records and inside.gaps:
+                problem = inside.gaps[0][2]
+        else:
+            try:
                 header, payload, end = _plain(data, at)
-                records = [(at, header, payload)]
-        except ValueError as problem:
-            if bad is None:
-                bad, why = at, str(problem)
-            at = min((p for p in (data.find(_MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0), default=len(data))
+                inside.records.append((0, header, payload))
+            except ValueError as failure:
+                problem = str(failure)
+        if at < upto and not problem and data[at:end] in broken:  # stored, and read with that member
+            at = end
             continue
-        if bad is not None:
+        if bad is not None and (inside.records or not problem):
             found.gaps.append((bad, at, why))
             bad = None
-        found.records += records
-        at = end
+        found.records += [(at, header, payload) for _, header, payload in inside.records]
+        if not problem:
+            found.gaps += [(at, end, f"bytes {a} to {b} of the member: {reason}") for a, b, reason in inside.gaps]
+            at = end
+            continue
+        if bad is None:
+            bad, why = at, problem
+        if inside.records:
+            broken, upto = content, end
+        at = min((p for p in (data.find(_MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0), default=len(data))
     if bad is not None:
         found.gaps.append((bad, len(data), why))
     return found

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -73,3 +74,58 @@ def test_gaps_are_logged(spark, tmp_path):
     assert sorted(r.page_id for r in rows if r.reason is None) == [0, 2]
     (gap,) = [r for r in rows if r.reason]
     assert (gap.start, gap.end) == (len(record[0]), len(record[0]) + len(damaged)) and "content length" in gap.reason
+
+
+def several(n=6, size=300):
+    payloads = [random.Random(i).randbytes(size) for i in range(n)]
+    return payloads, [warc.record("response", i, f"http://x/{i}", hashlib.sha256(p).hexdigest(), None, p) for i, p in enumerate(payloads)]
+
+
+def ids(found):
+    return [h["warc-record-id"] for _, h, _ in found.records]
+
+
+def urns(*pages):
+    return [f"<urn:page:{i}>" for i in pages]
+
+
+@pytest.mark.parametrize("old, new", [(b"Content-Length: 300", b"Content-Length: 290"), (b"sha256:", b"sha256:0"), (b"WARC/1.1", b"WORC/1.1")])
+def test_salvage_inside_a_member(old, new):
+    payloads, records = several()
+    damaged = [*records[:2], records[2].replace(old, new), *records[3:]]
+    data = warc.member(records[0]) + warc.member(b"".join(damaged)) + warc.member(records[5])
+    found = warc.read_archive(data)
+    assert ids(found) == urns(0, 0, 1, 3, 4, 5, 5)
+    assert [p for _, _, p in found.records][1:6] == [payloads[i] for i in (0, 1, 3, 4, 5)]
+    ((start, end, reason),) = found.gaps
+    begin, size = len(records[0]) * 2, len(damaged[2])
+    assert (start, end) == (len(warc.member(records[0])), len(data) - len(warc.member(records[5]))) and f"bytes {begin} to {begin + size} of" in reason
+
+
+def test_records_before_a_broken_stream_are_kept():
+    _, records = several()
+    packed = warc.member(b"".join(records))
+    after = warc.member(records[0])
+    for cut in (len(packed) // 2, len(packed) - 4):  # truncated
+        for tail in (b"", after):
+            found = warc.read_archive(packed[:cut] + tail)
+            assert ids(found)[:2] == urns(0, 1) and (not tail or ids(found)[-1:] == urns(0)) and found.gaps
+    assert ids(warc.read_archive(packed[:-4])) == urns(*range(6))
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    begin = packer.compress(b"".join(records[:3])) + packer.flush(zlib.Z_FULL_FLUSH)
+    found = warc.read_archive(begin + b"\xff" * 40 + after)  # no such block type
+    assert ids(found) == urns(0, 1, 2, 0) and found.gaps == [(0, len(begin) + 40, found.gaps[0][2])] and "gzip" in found.gaps[0][2]
+
+
+def test_member_with_a_wrong_checksum():
+    _, records = several()
+    for stored in (0, 6):
+        packer = zlib.compressobj(stored, zlib.DEFLATED, 31)
+        data = bytearray(packer.compress(b"".join(records)) + packer.flush())
+        data[-8] ^= 1
+        found = warc.read_archive(bytes(data) + warc.member(records[1]))
+        assert ids(found) == urns(*range(6), 1) and len(found.gaps) == 1 and "data check" in found.gaps[0][2]
+    data = bytearray(warc.member(records[0]))
+    data[-8] ^= 1
+    found = warc.read_archive(bytes(data))
+    assert not found.records and "data check" in found.gaps[0][2]

@@ -122,7 +122,12 @@ def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record at ``at``: header, payload, end.  ValueError says which check failed."""
     if not data.startswith(VERSION, at):
         raise ValueError("no version line")
-    stop = data.find(_END, at, at + (1 << 20))
+    if data.find(b"\r\n", at, at + 64) < 0:
+        raise ValueError("no version line")
+    stop = data.find(_END, at, at + (1 << 16))
+    if stop < 0:  # a long header: it goes on to the next version line at most
+        after = data.find(b"\r\n" + VERSION, at)
+        stop = data.find(_END, at, after if after >= 0 else len(data))
     if stop < 0:
         raise ValueError("header without end")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]

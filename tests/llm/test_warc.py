@@ -129,3 +129,20 @@ def test_member_with_a_wrong_checksum():
     data[-8] ^= 1
     found = warc.read_archive(bytes(data))
     assert not found.records and "data check" in found.gaps[0][2]
+
+
+def test_headers_of_any_length(spark):
+    rows = [(1, "http://x/" + "é" * (3 << 20), "a" * 200), (2, "http://y/" + "u" * (5 << 20), "a" * 200), (3, "u", "b")]
+    got = sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.write_and_read(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [(1, 200, "response"), (2, 200, "revisit"), (3, 1, "response")]
+    records = [warc.record("response", i, url, sha(body), None, body.encode()) for i, url, body in rows]
+    for data in (b"".join(records), warc.member(b"".join(records))):
+        found = warc.read_archive(data)
+        assert ids(found) == urns(1, 2, 3) and not found.gaps and found.records[0][1]["warc-target-uri"] == rows[0][1]
+
+
+def test_header_without_end_stops_at_the_next_version_line():
+    _, records = several()
+    damaged = records[0][: records[0].index(b"WARC-Payload")] + b"x" * (2 << 20) + b"\r\n"
+    found = warc.read_archive(damaged + records[1])
+    assert ids(found) == urns(1) and found.gaps == [(0, len(damaged), "header without end")]

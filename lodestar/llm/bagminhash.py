@@ -10,7 +10,7 @@ verified by the exact overlap of their multisets.
 
 Copies (equal word sequences) are one node.  Within a band's bucket every member is first compared with one of
 them, and then, across the classes that this leaves, with every other member of another class; members of one
-class need no comparison, and no link between different classes is skipped.
+class need no comparison, and every pair of different classes whose sizes allow the similarity is verified.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer words than a
 shingle is one shingle; rows without id take part and get the class of their text (null if no member has an
@@ -34,8 +34,6 @@ from ._text import chunks, mix, sequence_keys, shingles, words
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
-#: Standard deviations of a signature's estimate that a pair to be verified may lie below the similarity.
-SLACK = 3.2
 #: Members of a bucket that are compared in one piece.
 BLOCK_ROWS = 1024
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -115,15 +113,13 @@ def _sign(width: int, n_bands: int, rows: int):
                 parts = multisets(shingle, text)
                 signature = signatures(*parts, len(part), n_bands * rows)
                 key = bands(signature, n_bands, rows)
-                codes = (mix(signature.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
                 columns = [
                     ids.slice(part.first, len(part)),
                     pa.array(_key_bytes(hashes, begins), pa.binary()),
                     pa.array(size),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n_bands), pa.array(key.ravel())),
-                    pa.array([c.tobytes() for c in codes], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bands", "codes"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "bands"])
 
     return run
 
@@ -158,9 +154,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its class), class_size, kept."""
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, node binary, size long, bands array<long>, codes binary"
+    schema = "doc_id long, node binary, size long, bands array<long>"
     signed = written(docs.mapInArrow(_sign(width, n_bands, rows), schema), "signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("codes").alias("codes"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     labels = _labels(docs, nodes, width, n_bands, similarity)
     member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
@@ -213,7 +209,7 @@ def _then_none(items: Iterator) -> Iterator:
 
 
 def _across(n_bands: int, similarity: float):
-    """Links between different classes of a bucket: pairs whose signatures make the similarity possible, verified."""
+    """Links between different classes of a bucket: pairs whose sizes make the similarity possible, verified."""
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
         column = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
@@ -222,8 +218,6 @@ def _across(n_bands: int, similarity: float):
         band = column["band"].to_numpy()
         _, label = np.unique(np.array(column["label"].to_pylist(), "S16"), return_inverse=True)
         node = column["node"].to_pylist()
-        codes = np.frombuffer(b"".join(column["codes"].to_pylist()), np.uint8).reshape(len(node), -1)
-        least = similarity - SLACK * (similarity * (1 - similarity) / codes.shape[1]) ** 0.5
         keys = column["bands"].flatten().to_numpy().reshape(len(node), n_bands).astype(np.int32)
         items = column["items"].flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -251,8 +245,6 @@ def _across(n_bands: int, similarity: float):
                 use = (label[part] != label[other]) & (diagonal[part] | (block[part] != block[other]))
                 use &= np.minimum(size[part], size[other]) >= (similarity - 1e-9) * np.maximum(size[part], size[other])
                 part, other = part[use], other[use]
-                like = (codes[part] == codes[other]).mean(axis=1) >= least
-                part, other = part[like], other[like]
                 once = (keys[part] == keys[other]).argmax(axis=1) == band[part]
                 for i, j in zip(part[once].tolist(), other[once].tolist(), strict=True):
                     x, y = find(label[i]), find(label[j])
@@ -268,8 +260,8 @@ def _labels(docs: DataFrame, nodes: DataFrame, width: int, n_bands: int, similar
     """(node, label) of the nodes that are linked to others.
 
     First every member of a bucket is compared with the bucket's first node.  Most near copies are in one class
-    then; what is left are pairs of a bucket in different classes, which are all looked at (large buckets as
-    pairs of blocks), and verified where their signatures agree on nearly enough slots.
+    then; what is left are pairs of a bucket in different classes, which are all verified where their sizes
+    allow it (large buckets as pairs of blocks).
     """
     rows = nodes.filter("size > 0").select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
     sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
@@ -288,11 +280,11 @@ def _labels(docs: DataFrame, nodes: DataFrame, width: int, n_bands: int, similar
     if open_.isEmpty():
         return labels
     left = known.join(open_, "bucket")
-    detail = nodes.join(written(left.select("node").distinct(), "left"), "node").select("node", "size", "codes", "bands")
+    detail = nodes.join(written(left.select("node").distinct(), "left"), "node").select("node", "size", "bands")
     left = left.join(detail.join(sets, "node"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with")))
-    dealt = left.select(group.alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "band", "node", "size", "label", "codes", "bands", "items")
+    dealt = left.select(group.alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "band", "node", "size", "label", "bands", "items")
     links = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(_across(n_bands, similarity), "a binary, b binary")
     return _joined(labels, written(links.distinct(), "links"))
 

@@ -10,7 +10,8 @@ The trees are fitted once per process on pages made from a seeded generator of l
 to be main text or not: no table has labels for pages.
 
 Defined cases: a null or empty page has an empty text; text without any markup is main text; unclosed and
-stray tags close as browsers close them; a line break is white space; repeated rows give repeated results.
+stray tags close as browsers close them; a line break is white space; repeated rows give repeated results; the
+words in svg and math are part of the text around them; noscript and object are nodes of their own.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ from . import gradient_trees, html_layouts
 
 # Element names of the HTML standard, by how a reader treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object title textarea select button head".split())
+RAW = frozenset("script style template iframe title textarea select button head".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+FOREIGN = frozenset(("svg", "math"))  # these and what lies in them may be closed by a slash
+WITHIN = frozenset(("noscript", "object"))  # nodes that may lie in a paragraph
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HOLDERS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 # Kinds of words in class, id and role attributes.
@@ -104,7 +107,7 @@ def parse(page: str) -> list[Node]:
     def close(to: int) -> None:
         """Close the open elements from place ``to`` of the stack on."""
         nonlocal link
-        if any(name in BLOCK for name, _ in stack[to:]):
+        if any(name in BLOCK or name in WITHIN for name, _ in stack[to:]):
             flush()
         link -= sum(name == "a" for name, _ in stack[to:])
         del stack[to:]
@@ -137,6 +140,8 @@ def parse(page: str) -> list[Node]:
                 close(to)
             elif name == "p":
                 flush()
+        elif found[3].endswith("/") and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+            pass
         elif name in RAW:
             if name != "head":
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
@@ -149,7 +154,12 @@ def parse(page: str) -> list[Node]:
             if name == "hr":
                 flush()
         else:
-            if name in BLOCK:
+            if name in WITHIN:
+                flush()
+                parent = stack[-1][1]
+                nodes.append(Node(name, parent, nodes[parent].depth + 1, hints_of(found[3])))
+                stack.append((name, len(nodes) - 1))
+            elif name in BLOCK:
                 flush()
                 if name in ("body", "html"):
                     nodes[0].hints = tuple({*nodes[0].hints, *hints_of(found[3])})

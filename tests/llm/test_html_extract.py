@@ -41,6 +41,34 @@ def test_broken_markup(page):
     assert isinstance(h.main_texts([page], h.model())[0], str)
 
 
+ARTICLE = "<html><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>The title</h1><p>First paragraph of the text, which says a few words.</p>%s<p>Last paragraph of the text, which says a few more words.</p></article></body></html>"
+
+
+@pytest.mark.parametrize("tag", ["svg", "math"])
+def test_self_closed_elements_do_not_swallow_text(tag):
+    part = f"<{tag} width='1'/><p>Between the two, there are words, and more of them.</p><{tag}><g/></{tag}>"
+    (got,) = h.main_texts([ARTICLE % part], h.model())
+    assert got.split("\n") == ["The title", "First paragraph of the text, which says a few words.", "Between the two, there are words, and more of them.", "Last paragraph of the text, which says a few more words."]
+
+
+def test_slash_closes_what_lies_in_svg():
+    page = ARTICLE % "<svg><style/><a/><title/></svg><p>Between, there are words, and more of them.</p><style>p{}</style>"
+    (node,) = [n for n in h.parse(page) if any("Between" in t for _, t in n.texts)]
+    assert not node.linked and not any("{" in t for n in h.parse(page) for _, t in n.texts)
+
+
+def test_text_in_other_elements_is_kept():
+    part = "<p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> is drawn in <svg><style>t{}</style><text>figure one</text></svg>, as said before.</p>"
+    part += "<object data=a><p>Words of the object, which are part of the text.</p></object><noscript><p>Words without scripts, which are part of the text.</p></noscript>"
+    (got,) = h.main_texts([ARTICLE % part], h.model())
+    assert "The sum x+y is drawn in figure one, as said before.\nWords of the object, which are part of the text.\nWords without scripts, which are part of the text.\nLast" in got
+
+
+def test_noscript_is_a_node():
+    nodes = h.parse("<p>One <noscript>two<img></noscript> three</p><noscript><p>four")
+    assert [(n.tag, [t for _, t in n.texts]) for n in nodes[1:]] == [("p", ["One", "three"]), ("noscript", ["two"]), ("noscript", []), ("p", ["four"])]
+
+
 def test_frame(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "just text, nothing else but words."), (1, "u", PAGE), (5, "u", "<article>" + "<p>word and word, word.</p>" * 20_000 + "</article>")]
     got = h.extract(spark.createDataFrame(rows, PAGES)).collect()

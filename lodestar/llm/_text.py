@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,8 +13,11 @@ import pyarrow.compute as pc
 #: Text bytes that are worked on at a time; a single longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Spans of more bytes are hashed by BLAKE2, one by one; shorter ones side by side, eight bytes at a time.
+LONG = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest n bytes of a number, for n from 0 to 8.
+_LOWEST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,27 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit number for each byte value, from a rule.
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers[which]
-    if len(have) < n:
-        steps = np.full(max(n, 2 * len(have)), base, np.uint64)
-        steps[0] = 1
-        have = _powers[which] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 @dataclass
 class Texts:
     """Rows ``first`` to ``first + len(offsets) - 2`` of a batch; text i is data[offsets[i]:offsets[i + 1]]."""
@@ -90,23 +79,47 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-class Hasher:
-    """64-bit hashes of any spans of one byte array, each in constant time after one pass."""
+class Spans:
+    """Any spans of one byte array, read eight bytes at a time: their 64-bit hashes, and whether they equal others.
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * _power("up", _MULT, len(data)), out=self.sums[1:])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * _power("down", _INVERSE, len(self.sums))[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    Equal bytes have equal hashes.  Different bytes may not: whoever needs certainty compares the bytes.
+    """
 
-
-def words(texts: Texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space), and where each text's words begin (one more at the end)."""
-    data = LOWER[texts.data] if lower else texts.data
-    start, end = runs(~SPACE[data], texts.offsets)
-    return Hasher(data).spans(start, end), np.searchsorted(start, texts.offsets)
+    def __init__(self, data: np.ndarray):
+        self.padded = np.zeros(len(data) + 8, np.uint8)
+        self.padded[: len(data)] = data
+        self.data = self.padded[: len(data)]
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", self.padded, strides=(1,))
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        out = mix(size.astype(np.uint64) * _ODD + np.uint64(1))
+        at = np.flatnonzero(size <= LONG)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        begin, rest = start[at], size[at]
+        while len(at):
+            lane = self.lanes[begin] & _LOWEST[np.minimum(rest, 8)]
+            out[at] = mix((out[at] ^ lane) * _ODD)
+            on = np.flatnonzero(rest > 8)
+            at, begin, rest = at[on], begin[on] + 8, rest[on] - 8
+        return out
+
+    def equal(self, start: np.ndarray, end: np.ndarray, other: Spans, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether span i here has the bytes of span i there."""
+        size = end - start
+        out = size == stop - begin
+        for i in np.flatnonzero(out & (size > LONG)).tolist():
+            out[i] = np.array_equal(self.data[start[i] : end[i]], other.data[begin[i] : stop[i]])
+        at = np.flatnonzero(out & (size <= LONG))
+        mine, theirs, rest = start[at], begin[at], size[at]
+        while len(at):
+            mask = _LOWEST[np.minimum(rest, 8)]
+            same = (self.lanes[mine] ^ other.lanes[theirs]) & mask == 0
+            out[at[~same]] = False
+            on = np.flatnonzero(same & (rest > 8))
+            at, mine, theirs, rest = at[on], mine[on] + 8, theirs[on] + 8, rest[on] - 8
+        return out
 
 
 def shingles(hashes: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +139,7 @@ def shingles(hashes: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.nda
     return out, text
 
 
-def sequence_keys(hashes: np.ndarray, begins: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each text's sequence of words."""
-    n = np.diff(begins)
-    at = np.arange(len(hashes)) - np.repeat(begins[:-1], n)
-    code = mix(hashes + np.uint64(seed)) * mix(at.astype(np.uint64) + np.uint64(seed * 7 + 1))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code, dtype=np.uint64)])
-    return mix(sums[begins[1:]] - sums[begins[:-1]] + n.astype(np.uint64) * _MULT)
+def sequence_keys(hashes: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each text's sequence of words."""
+    raw = hashes.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False)]

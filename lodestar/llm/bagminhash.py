@@ -8,13 +8,15 @@ shingles costs about n + m log m points for m slots.  Two signatures agree in a
 the weighted Jaccard similarity.  Slots are banded; texts that share a band are candidates; candidates are
 verified by the exact overlap of their multisets.
 
-Copies (equal word sequences) are one node.  Within a band's bucket every member is first compared with one of
+Copies (equal word sequences, by a 128-bit digest) are one node.  Within a band's bucket every member is first compared with one of
 them, and then, across the classes that this leaves, with every other member of another class; members of one
 class need no comparison, and every pair of different classes whose sizes allow the similarity is verified.
 
 Defined cases: null text is empty; texts without words are copies of each other; a text of fewer words than a
-shingle is one shingle; rows without id take part and get the class of their text (null if no member has an
-id); repeated rows give repeated results; an empty table gives an empty result.
+shingle is one shingle; a text of any length is read as a whole; rows without id take part and get the class of their
+text (null if no member has an id); repeated rows give repeated results, of which the first of equal ids is kept; an empty
+table gives an empty result; :func:`classes` reads doc_id and text only, and :func:`keep_first` carries all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._groups import by_group
-from ._scratch import fresh, join_keys, written
-from ._text import chunks, mix, sequence_keys, shingles, words
+from ._pieces import words
+from ._scratch import fresh, join_hot, join_keys, written
+from ._text import chunks, mix, sequence_keys, shingles
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 #: Members of a bucket that are compared in one piece.
 BLOCK_ROWS = 1024
+#: Members of a bucket that share one copy of the first member's multiset.
+STAR_ROWS = 500
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -97,11 +102,6 @@ def bands(signature: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _key_bytes(hashes: np.ndarray, begins: np.ndarray) -> list[bytes]:
-    pair = np.stack([sequence_keys(hashes, begins, 1), sequence_keys(hashes, begins, 2)], axis=1).astype(">u8")
-    return [x.tobytes() for x in pair]
-
-
 def _sign(width: int, n_bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,7 @@ def _sign(width: int, n_bands: int, rows: int):
                 key = bands(signature, n_bands, rows)
                 columns = [
                     ids.slice(part.first, len(part)),
-                    pa.array(_key_bytes(hashes, begins), pa.binary()),
+                    pa.array(sequence_keys(hashes, begins), pa.binary()),
                     pa.array(size),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * n_bands), pa.array(key.ravel())),
                 ]
@@ -138,15 +138,20 @@ def _replicas(width: int):
                 owner = np.repeat(at, weight)
                 items = items[np.lexsort((items, owner))]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))]).astype(np.int32)
-                columns = [pa.array(_key_bytes(hashes, begins), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))]
+                columns = [pa.array(sequence_keys(hashes, begins), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "items"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets have a weighted Jaccard similarity of at least ``similarity``."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+def _verified(star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose multisets have a weighted Jaccard similarity of at least ``similarity``.
+
+    ``star`` (a, b, block) has few rows for each a and block: a is fetched once for each block, so that a node which is
+    compared with very many does not bring them into one task.
+    """
+    first = star.select("a", "block").distinct().join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    both = star.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(first, ["a", "block"])
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
@@ -156,24 +161,30 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY,
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, node binary, size long, bands array<long>"
     signed = written(docs.mapInArrow(_sign(width, n_bands, rows), schema), "signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     labels = _labels(docs, nodes, width, n_bands, similarity)
-    member = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+    named = nodes.select("node", "copies").join(labels, "node", "left").select("node", "copies", F.coalesce("label", "node").alias("label"))
+    member = join_hot(signed.select("doc_id", "node"), written(named, "named"), ["node"], "copies").select("doc_id", "label")
     member = member.groupBy("label", "doc_id").agg(F.count("*").alias("n"))
-    total = member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    member = written(member, "member")
+    total = written(member.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
     return (
-        member.join(total, "label")
+        join_hot(member, total, ["label"], "class_size")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
         .select("doc_id", "class_id", "class_size", ((F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
     )
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sorted by bucket and node) whose bucket has another row, with the bucket's first node."""
-    names = ["bucket", "node", "size", "first"]
+    """Rows (sorted by bucket and node) whose bucket has another row, with the bucket's first node and a block number.
+
+    Blocks cut a bucket into runs of at most ``STAR_ROWS`` rows.
+    """
+    names = ["bucket", "node", "size", "first", "block"]
     held: pa.RecordBatch | None = None  # the last row, until it is known whether another follows
     bucket_before, first = None, None
+    seen = 0  # rows of the batches before
     for batch in _then_none(batches):
         rows = [held] if held is not None else []
         if batch is not None:
@@ -195,9 +206,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(keys) if batch is None else len(keys) - 1
         several = ~begins | np.concatenate([keys[:-1] == keys[1:], [False]]) | (lead_run & carried)
         use = pa.array(np.flatnonzero(several[:last]))
-        yield pa.RecordBatch.from_arrays([all_.column(i).take(use) for i in range(3)] + [leader.take(use)], names)
+        block = pa.array((seen + np.arange(len(keys))) // STAR_ROWS)
+        yield pa.RecordBatch.from_arrays([all_.column(i).take(use) for i in range(3)] + [leader.take(use), block.take(use)], names)
         if batch is None:
             return
+        seen += last
         held = all_.slice(last)
         if last:
             bucket_before, first = (keys[last], leader[last].as_py()) if keys[last] == keys[last - 1] else (None, None)
@@ -218,7 +231,7 @@ def _across(n_bands: int, similarity: float):
         band = column["band"].to_numpy()
         _, label = np.unique(np.array(column["label"].to_pylist(), "S16"), return_inverse=True)
         node = column["node"].to_pylist()
-        keys = column["bands"].flatten().to_numpy().reshape(len(node), n_bands).astype(np.int32)
+        keys = column["bands"].flatten().to_numpy().reshape(len(node), n_bands)
         items = column["items"].flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(size)])
         leader = list(range(label.max() + 1))
@@ -265,22 +278,23 @@ def _labels(docs: DataFrame, nodes: DataFrame, width: int, n_bands: int, similar
     """
     rows = nodes.filter("size > 0").select("node", "size", F.explode("bands").alias("bucket")).select("bucket", "node", "size")
     sorted_ = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
-    members = written(sorted_.mapInArrow(_shared, "bucket long, node binary, size long, first binary"), "members")
+    members = written(sorted_.mapInArrow(_shared, "bucket long, node binary, size long, first binary, block long"), "members")
     own = members.select("node").distinct()
     ids = written(nodes.join(own, "node", "left_semi").select("first_id"), "ids")
     texts = join_keys(docs.filter("doc_id IS NOT NULL"), ids, F.col("doc_id") == F.col("first_id")).unionByName(docs.filter("doc_id IS NULL"))
     sets = texts.select("text").mapInArrow(_replicas(width), "node binary, items array<long>").dropDuplicates(["node"])
     sets = written(sets, "sets")
-    star = written(members.filter("node <> first").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct(), "pairs")
+    star = members.filter("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.min("block").alias("block"))
+    star = written(star, "pairs")
     labels = _joined(None, written(_verified(star, sets, similarity), "links"))
     known = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "known")
     open_ = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows")).filter("least <> most AND rows > 2")
-    open_ = written(open_.select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "open")
+    open_ = written(open_.select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), "rows"), "open")
     if open_.isEmpty():
         return labels
-    left = known.join(open_, "bucket")
-    detail = nodes.join(written(left.select("node").distinct(), "left"), "node").select("node", "size", "bands")
+    left = written(join_hot(known, open_, ["bucket"], "rows").drop("rows"), "left")
+    detail = nodes.join(left.select("node").distinct(), "node").select("node", "size", "bands")
     left = left.join(detail.join(sets, "node"), "node").withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
     left = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "with"), F.greatest("block", "with")))
@@ -299,8 +313,9 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
     ends = written(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "ends")
-    moved = written(components(ends), "moved").select(F.col("node").alias("label"), F.col("label").alias("to"))
-    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = written(moved.join(labels.groupBy("label").count(), "label", "left").na.fill(0, ["count"]), "moved")
+    old = join_hot(labels, moved, ["label"], "count", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = moved.join(labels, moved["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
     return written(old.unionByName(fresh).distinct(), "labels")
 

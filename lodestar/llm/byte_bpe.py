@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole texts, with the pre-tokenisation done by array operations.
 
-The vocabulary is a tokenizers JSON file.  Where its merges are in the order of its ids, distinct pieces are
-encoded by the rank encoder (the same ids, several times as fast); otherwise by the tokenizers library.
+The vocabulary is a tokenizers JSON file.  Each distinct piece is encoded once, by the tokenizers library; texts with
+special tokens in them, and vocabularies with another pre-tokeniser or a normaliser, go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 from ._pieces import PieceCache
-from ._text import Hasher, Texts
+from ._text import Texts
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
 #: The code points of Unicode's White_Space property.
@@ -74,26 +74,14 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.special = [t["content"] for t in model.get("added_tokens", [])]
         self.small = max(vocab.values()) < 1 << 16
-        merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in model["model"]["merges"]]
-        ordered = [vocab.get(m) for m in merges] == list(range(256, 256 + len(merges)))
         split = model["pre_tokenizer"] or {}
         if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model["normalizer"]:
             self.cache = None
         else:
-            self.cache = PieceCache(self._ranks(vocab) if ordered else self._library)
+            self.cache = PieceCache(self._library)
 
     def _library(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-
-    def _ranks(self, vocab: dict[str, int]):
-        import tiktoken
-
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in shown]
-        value = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(value[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-        encoder = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        return lambda pieces: [encoder.encode_ordinary(p.decode()) for p in pieces]
+        return [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
     def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin (one more at the end)."""
@@ -105,7 +93,7 @@ class Encoder:
         starts = piece_starts(points, np.searchsorted(lead, part.offsets))
         begin = lead[starts]
         end = np.append(begin[1:], len(raw))
-        ids, n = self.cache.lookup(Hasher(part.data).spans(begin, end), lambda i: raw[begin[i] : end[i]])
+        ids, n = self.cache.lookup(part.data, begin, end)
         sums = np.concatenate([[0], np.cumsum(n)])
         return ids, sums[np.searchsorted(begin, part.offsets)]
 

@@ -2,13 +2,14 @@
 
 A snapshot holds one row per distinct text digest (its exact buckets) and, for each shard of digests, a
 static binary-fuse filter.  An incoming batch is digested, grouped by digest (so that a text repeated a
-million times is one row before anything is joined), and screened shard by shard: a digest that its filter
+million times is one row before anything is joined; digests with very many ids are joined without a shuffle), and screened shard by shard: a digest that its filter
 does not hold is new for certain; the others join the exact buckets.  Every text of a group of several is
 then compared byte by byte with the text that stays.
 
 Defined cases: a null text counts as empty and empty texts equal each other; a row without id takes part,
 and stays only where its group has no id; of rows with the same id and text the first stays and the rest
-are dropped; an empty table gives an empty result; further columns are carried by :func:`drop_copies` only.
+are dropped; an empty table gives an empty result; further columns are carried by :func:`drop_copies` only, whatever
+their names; a text of any length is digested and compared as a whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import binary_fuse
-from ._scratch import fresh, join_keys, written
+from ._scratch import fresh, join_hot, join_keys, written
 
 #: Distinct digests in a shard; a shard and its filter fit easily in one task.
 SHARD_KEYS = 500_000
@@ -94,14 +95,14 @@ def merged(snapshot: Snapshot, rows: DataFrame) -> DataFrame:
 def _differing(docs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
     """Digests under which texts are not equal byte by byte (none, unless SHA-256 collides)."""
     several = written(groups.filter("group_size > 1"), "several")
-    members = written(rows.join(several, "sha").select("doc_id", "sha", "keep_id", "group_size").distinct(), "members")
-    ids = members.select("doc_id").distinct()
+    ids = join_hot(rows, several, ["sha"], "group_size").select("doc_id").distinct()
     wanted = docs.select("doc_id", normalised(F.col("text")).alias("body"))
     texts = join_keys(wanted.filter("doc_id IS NOT NULL"), written(ids, "ids"), "doc_id").unionByName(wanted.filter("doc_id IS NULL"))
     texts = texts.withColumn("sha", F.unhex(F.sha2("body", 256)))
     salts = F.ceil(F.col("group_size") / COPIES_PER_SALT).cast("int")
-    copies = texts.join(several, "sha").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    stays = texts.join(several, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select("sha", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    named = join_hot(texts, several, ["sha"], "group_size")
+    copies = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    stays = named.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["sha"]).select("sha", F.col("body").alias("kept_body"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     return written(copies.join(stays, ["sha", "salt"]).filter("body <> kept_body").select("sha").distinct(), "differing")
 
 
@@ -114,7 +115,7 @@ def grouped(docs: DataFrame, archived: Column | None = None) -> DataFrame:
         archived = F.col("doc_id") <= F.lit(middle) if middle is not None else F.lit(False)
     archived = F.coalesce(archived, F.lit(False))
     groups = written(merged(build_snapshot(rows.filter(archived)), rows.filter(~archived)), "groups")
-    out = rows.join(groups, "sha")
+    out = join_hot(rows, groups, ["sha"], "group_size")
     differing = _differing(docs, groups, rows)
     if not differing.isEmpty():
         out = out.join(differing, "sha", "left_anti").unionByName(_by_text(docs, differing))

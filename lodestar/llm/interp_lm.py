@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._pieces import words
 from ._scratch import written
-from ._text import chunks, mix, words
+from ._text import chunks, mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20

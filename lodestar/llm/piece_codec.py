@@ -4,11 +4,13 @@ The model's protobuf is parsed here (field numbers are the format's own), and a
 from it: the normaliser, the space marker, unigram scores or, for a BPE model, the merges that its scores
 order, and byte fallback.  Words (each with the spaces before it) are encoded independently of each other,
 because no piece has a space marker after another character; where a model has such pieces, or a text holds
-the marker itself, whole texts are encoded.  A worker encodes each distinct word once, in multithreaded batches,
-and checks every one of them against the SentencePiece library: a text has parity if all its words have.
+the marker itself, whole texts are encoded.  A worker encodes each distinct word once, in multithreaded batches.  Every
+text is also encoded as a whole by the SentencePiece library: it has parity if all its ids are the same.
 
-Defined cases: null text is empty and has no ids; ids outside the vocabulary decode to nothing; control pieces
-decode to nothing; repeated rows give repeated results; an empty table gives an empty result.
+Defined cases: null text is empty and has no ids (parity holds, and it is restored as empty); texts of any length are
+encoded as a whole; ids outside the vocabulary decode to nothing; control pieces decode to nothing; user-defined pieces
+are encoded as ordinary ones, and parity tells where that differs; repeated rows give repeated results; an empty table
+gives an empty result; :func:`decode` carries all columns and names its own so that it clashes with none of them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import PieceCache, ragged
-from ._text import Hasher, Texts, chunks
+from ._scratch import fresh
+from ._text import Texts, chunks
 
 MARKER = "▁"
 # Piece kinds and model kinds of the format.
@@ -160,45 +164,41 @@ class Codec:
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARKER, " ").encode()
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, then one number: 0 if the checker's ids are the same, else 1."""
-        texts = [w.decode() for w in words]
-        ours = [e.ids for e in self.plain.encode_batch(texts, add_special_tokens=False)]
-        cut = [t[1:] if t[:1] == " " and self.model.add_prefix else t for t in texts]
-        theirs = self.checker.encode(cut)
-        return [a + [int(a != b and bool(t))] for a, b, t in zip(ours, theirs, cut, strict=True)]
+        return [e.ids for e in self.plain.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, where each text's begin (one more at the end), and its parity."""
         raw = part.data.tobytes()
-        if not self.words or MARKER.encode() in raw:
-            return self._direct(part)
-        spaced = part
+        texts = [raw[a:b].decode() for a, b in zip(part.offsets.tolist(), part.offsets[1:].tolist(), strict=False)]
+        ids, begins = self._whole(texts) if not self.words or MARKER.encode() in raw else self._by_words(part)
+        return ids, begins, self._parity(texts, ids, begins)
+
+    def _by_words(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = part.data, part.offsets
         if self.model.add_prefix:  # a space before every text that is not empty
-            size = np.diff(part.offsets)
-            at = part.offsets[:-1][size > 0]
-            spaced = Texts(part.first, np.insert(part.data, at, 0x20), part.offsets + np.concatenate([[0], np.cumsum(size > 0)]))
-            raw = spaced.data.tobytes()
-        space = spaced.data == 0x20
-        start = np.zeros(len(spaced.data) + 1, bool)
+            size = np.diff(offsets)
+            data = np.insert(data, offsets[:-1][size > 0], 0x20)
+            offsets = offsets + np.concatenate([[0], np.cumsum(size > 0)])
+        space = data == 0x20
+        start = np.zeros(len(data) + 1, bool)
         start[1:-1] = space[1:] & ~space[:-1]
-        start[spaced.offsets[:-1]] = True
+        start[offsets[:-1]] = True
         begin = np.flatnonzero(start[:-1])
-        end = np.append(begin[1:], len(raw))
-        found, n = self.cache.lookup(Hasher(spaced.data).spans(begin, end), lambda i: raw[begin[i] : end[i]])
-        last = np.cumsum(n) - 1
-        differs, keep = found[last], np.ones(len(found), bool)
-        keep[last] = False
-        first = np.searchsorted(begin, spaced.offsets)
-        ids = np.concatenate([[0], np.cumsum(n - 1)])[first]
-        wrong = np.concatenate([[0], np.cumsum(differs)])[first]
-        return found[keep], ids, np.diff(wrong) == 0
-
-    def _direct(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        texts = [part.data[a:b].tobytes().decode() for a, b in zip(part.offsets, part.offsets[1:], strict=False)]
-        ours = [e.ids if t else [] for e, t in zip(self.whole.encode_batch(texts, add_special_tokens=False), texts, strict=True)]
-        theirs = self.checker.encode(texts)
-        flat = np.concatenate([np.zeros(0, np.int32), *[np.array(i, np.int32) for i in ours]]).astype(np.int32)
-        return flat, np.concatenate([[0], np.cumsum([len(i) for i in ours])]).astype(np.int64), np.array([a == b for a, b in zip(ours, theirs, strict=True)], bool)
+        found, n = self.cache.lookup(data, begin, np.append(begin[1:], len(data)))
+        return found, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(begin, offsets)]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids if t else [] for e, t in zip(self.whole.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)])
+
+    def _parity(self, texts: list[str], ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Whether each text's ids are those that the SentencePiece library gives it."""
+        theirs, at = _flat(self.checker.encode(texts, num_threads=1))
+        n = np.diff(begins)
+        out = n == np.diff(at)
+        place = np.concatenate([[0], np.cumsum(np.where(out, n, 0))])
+        differs = ids[ragged(begins[:-1][out], n[out])] != theirs[ragged(at[:-1][out], n[out])]
+        wrong = np.concatenate([[0], np.cumsum(differs)])[place] if out.any() else np.zeros(len(place), np.int64)
+        return out & (np.diff(wrong) == 0)
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts one after the other, and where each text's begin; the prefixed space is taken off."""
@@ -218,6 +218,12 @@ class Codec:
         return next((i for i, s in enumerate(self.spell) if not s), 0)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers one after the other, and where each list begins (one more at the end)."""
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(begins[-1])), begins
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     """The worker's codec for a model; it stays between tasks."""
@@ -242,8 +248,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns, and ``decoded``: the text of the ids (null ids: null)."""
-    name = "decoded"
+    """All columns, and ``decoded`` (or a like name that is free): the text of the ids (null ids: null)."""
+    name = fresh(coded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -1,19 +1,23 @@
 """Near-duplicate embeddings by counting collisions on random one-dimensional projections.
 
-Vectors are projected on random lines.  Bundles of projections, cut into cells of ``CELL``, first bring together
-vectors that agree on a whole bundle; within a cell vectors are sorted by the bundle's leading projection, each
-is compared with those in its window there, and for every such pair the windows (of ``WINDOW`` around the query,
-on ``PROBES`` further projections) that hold both are counted.  Pairs with enough collisions are verified by the
-cosine in double precision.  The number of projections in a bundle grows with the logarithm of the number of
-vectors, so that a cell stays small, and the number of bundles follows from it so that a pair exactly at the
-threshold is found with probability ``RECALL``; the collisions asked for come from the same calibration.
+Vectors are projected on random lines.  On each of ``PROBES`` lines a query has a window of ``WINDOW`` on both sides of
+its own value; for a pair the windows that hold both are counted, and pairs with enough collisions are verified by the
+cosine in double precision.  How many are enough follows from the chance that vectors exactly at the threshold collide.
+
+Counting all pairs would be quadratic, so the work is partitioned first: the signs on a bundle of further lines deal the
+vectors to cells, each bundle anew, and collisions are counted within cells.  The number of lines in a bundle grows with
+the logarithm of the number of vectors, so that a cell stays small; the number of bundles follows from it so that a pair
+exactly at the threshold is found with probability ``RECALL``, bundles and collisions together.  A pair belongs to the
+first bundle whose cell it shares, so that every link is found once and can be counted where it is found: a task gives
+for each vector the number of its links and one link to the smallest vector it is connected with there, never all pairs.
 
 Equal vectors are one node that knows its number of copies.  A cell with more than ``CELL_ROWS`` nodes is dealt
 out as pairs of blocks, so that no task holds it whole.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
-vectors of different lengths never link; rows without id take part; repeated rows are copies of each other; an
-empty table gives an empty result.
+vectors of different lengths never link; rows without id take part; repeated rows are copies of each other; ties of ids
+are one row each; an empty table gives an empty result; further columns are not carried; a vector of any length is
+projected as a whole.
 """
 
 from __future__ import annotations
@@ -31,29 +35,32 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._groups import by_group
-from ._scratch import written
+from ._scratch import join_hot, small_enough, written
 from ._text import mix
 
 COSINE = 0.9
 RECALL = 0.995
-CELL = 2.0
 WINDOW = 1.0
 PROBES = 24
-#: Expected number of unrelated nodes in a cell.
-STRANGERS = 24
+#: Part of the recall that the count of collisions may cost; the rest is the bundles'.
+COUNT_LOSS = 0.0005
+#: Nodes that a cell has if vectors point everywhere alike.
+CELL_NODES = 400
 #: Nodes of a cell that are compared in one piece.
 CELL_ROWS = 2048
+#: Nodes of a cell from which on collisions are counted by tiles of queries, not by steps over all cells of a batch.
+TILED = 48
+_TILE = 256
 
 
-def same_cell(distance: float, width: float = CELL) -> float:
-    """The chance that two vectors at a distance fall into one randomly placed cell of a projection."""
-    t = width / distance
-    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+def same_side(cosine: float) -> float:
+    """The chance that two vectors lie on the same side of a random line's origin."""
+    return 1 - math.acos(cosine) / math.pi
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How many bundles of how many projections, and how many collisions a candidate pair must have."""
+    """How many bundles of how many lines, and how many collisions a candidate pair must have."""
 
     bundles: int
     width: int
@@ -61,12 +68,12 @@ class Plan:
 
     @classmethod
     def calibrated(cls, nodes: int, cosine: float = COSINE, recall: float = RECALL) -> Plan:
-        near, far = math.sqrt(2 - 2 * cosine), math.sqrt(2)
-        width = max(4, math.ceil(math.log(max(nodes, 1) / STRANGERS) / -math.log(same_cell(far)))) if nodes > STRANGERS else 4
-        bundles = math.ceil(math.log(1 - recall) / math.log(1 - same_cell(near) ** width))
-        hit = math.erf(WINDOW / near / math.sqrt(2))
+        width = max(0, round(math.log2(max(nodes, 1) / CELL_NODES)))
+        missed = 1 - same_side(cosine) ** width
+        bundles = math.ceil(math.log(1 - recall / (1 - COUNT_LOSS)) / math.log(missed)) if missed > 0 else 1
+        hit = math.erf(WINDOW / math.sqrt(2 - 2 * cosine) / math.sqrt(2))
         tail, asked = 0.0, PROBES + 1
-        while tail < 0.9995 and asked > 0:
+        while tail < 1 - COUNT_LOSS and asked > 0:
             asked -= 1
             tail += math.comb(PROBES, asked) * hit**asked * (1 - hit) ** (PROBES - asked)
         return cls(bundles, width, asked)
@@ -89,7 +96,7 @@ def rows_by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id and a key of the vector's values (null where it is not valid)."""
+    """vec_id, a key of the vector's values (null where it is not valid), and the values."""
     for batch in batches:
         keys: list[bytes | None] = [None] * batch.num_rows
         for at, vectors in rows_by_length(batch.column(1)):
@@ -99,24 +106,24 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1).cast(pa.list_(pa.float64()))], ["vec_id", "node", "vector"])
 
 
-def _cells(plan: Plan, kind: str):
-    """node, vector (numbers of ``kind``), and the keys of its cells in all bundles, whole and shortened."""
+def cells(unit: np.ndarray, plan: Plan) -> np.ndarray:
+    """(n, bundles) keys of the cells that vectors of one length fall into."""
+    size = unit.shape[1]
+    side = unit @ lines(size, plan.bundles * plan.width, 1) > 0
+    place = side.reshape(len(unit), plan.bundles, plan.width) @ (np.uint64(1) << np.arange(plan.width, dtype=np.uint64))
+    return mix(place.astype(np.uint64) * np.uint64(plan.bundles) + np.arange(plan.bundles, dtype=np.uint64) + (np.uint64(size) << np.uint64(48)))
+
+
+def _dealt(plan: Plan, kind: str):
+    """id, copies, vector (numbers of ``kind``), and the keys of its cells in all bundles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, vectors in rows_by_length(batch.column(1)):
-                size = vectors.shape[1]
-                unit = _unit(vectors)
-                shift = np.random.default_rng([3, size]).random(plan.bundles * plan.width)
-                cell = np.floor(unit @ lines(size, plan.bundles * plan.width, 1) / CELL + shift).astype(np.int64).view(np.uint64)
-                cell = cell.reshape(len(unit), plan.bundles, plan.width)
-                key = np.tile(mix(np.arange(1, plan.bundles + 1, dtype=np.uint64) * np.uint64(size)), (len(unit), 1))
-                for k in range(plan.width):
-                    key = mix(key * np.uint64(3) + cell[:, :, k])
+            for at, vectors in rows_by_length(batch.column(2)):
+                key = cells(_unit(vectors), plan)
                 packed = pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary())
-                short = pa.array([k.tobytes() for k in key.astype(np.int32)], pa.binary())
-                ends = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * plan.bundles)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), packed, short, pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["node", "vector", "codes", "cells"])
+                ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * plan.bundles)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in (0, 1)), packed, pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64).ravel()))], ["id", "copies", "vector", "cells"])
 
     return run
 
@@ -126,78 +133,125 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _pairs(plan: Plan, cosine: float, kind: str):
-    """Verified pairs of each group; rows come sorted by group."""
+def collided(probe: np.ndarray, begin: int, end: int, asked: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of the rows begin to end - 1 that share at least ``asked`` windows; ``probe`` has a row per line."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for low in range(begin, end, _TILE):
+        rows = slice(low, min(low + _TILE, end))
+        hits = np.zeros((rows.stop - low, end - low), np.uint8)
+        for line in probe:
+            hits += np.abs(line[rows, None] - line[None, low:end]) <= WINDOW
+        i, j = np.nonzero(hits >= asked)
+        use = i < j
+        found.append((i[use] + low, j[use] + low))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest that the links a, b connect it with."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _linked(plan: Plan, cosine: float, kind: str):
+    """What the groups' links say: (id, least, near) per linked node; rows come sorted by group.
+
+    ``near`` is the number of vectors linked with it here, ``least`` the smallest node it is connected with here.
+    """
 
     def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
-        names = rows.schema.names
-        column = {n: rows.column(i) for i, n in enumerate(names)}
-        group = column["group"].to_numpy()
+        column = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+        group, node, copies = (column[n].to_numpy() for n in ("group", "id", "copies"))
         block, diagonal, bundle = (column[n].to_numpy(zero_copy_only=False) for n in ("block", "diagonal", "bundle"))
-        codes = np.frombuffer(b"".join(column["codes"].to_pylist()), np.int32).reshape(len(group), plan.bundles)
-        node = column["node"].to_pylist()
         size = pc.binary_length(column["vector"]).to_numpy() // np.dtype(kind).itemsize
-        found: list[tuple[bytes, bytes]] = []
+        links: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
         for s in np.unique(size):
             at = np.flatnonzero(size == s)
             unit = _unit(np.frombuffer(b"".join(column["vector"].take(pa.array(at)).to_pylist()), kind).reshape(len(at), s).astype(float))
-            lead = np.einsum("ij,ji->i", unit, lines(s, plan.bundles * plan.width, 1)[:, bundle[at] * plan.width]) if len(at) else np.zeros(0)
-            order = np.lexsort((lead, group[at]))
-            at, unit, lead = at[order], unit[order], lead[order].astype(np.float32)
-            probe = (unit @ lines(s, PROBES, 2)).astype(np.float32)
+            probe = np.ascontiguousarray((unit @ lines(s, PROBES, 2)).T.astype(np.float32))
             own = group[at]
-            last = np.searchsorted(own, own, "right")  # the end of each row's group
-            left = np.arange(len(at))
-            step = 0
+            begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            end = np.append(begin[1:], len(own))
+
+            def verified(i: np.ndarray, j: np.ndarray, at=at, unit=unit) -> None:
+                use = diagonal[at[i]] | (block[at[i]] != block[at[j]])
+                i, j = i[use], j[use]
+                for low in range(0, len(i), 50_000):
+                    x, y = i[low : low + 50_000], j[low : low + 50_000]
+                    true = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+                    x, y = x[true], y[true]
+                    if len(x):
+                        members, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                        code = cells(unit[members], plan)
+                        first = (code[place[: len(x)]] == code[place[len(x) :]]).argmax(axis=1) == bundle[at[x]]
+                        links.append((at[x[first]], at[y[first]]))
+
+            for b, e in zip(begin, end, strict=True):
+                if e - b >= TILED:
+                    verified(*collided(probe, b, e, plan.collisions))
+            few = np.repeat(end - begin < TILED, end - begin)
+            last = np.repeat(end, end - begin)
+            left, step = np.flatnonzero(few), 0
             while True:
                 step += 1
                 left = left[left + step < last[left]]
-                left = left[lead[left + step] - lead[left] <= 1.6 * WINDOW]
                 if not len(left):
                     break
-                for part in np.array_split(left, max(1, len(left) // 20_000)):
-                    other = part + step
-                    use = diagonal[at[part]] | (block[at[part]] != block[at[other]])
-                    part, other = part[use], other[use]
-                    hits = (np.abs(probe[part] - probe[other]) <= WINDOW).sum(axis=1)
-                    part, other = part[hits >= plan.collisions], other[hits >= plan.collisions]
-                    if len(part):
-                        true = np.einsum("ij,ij->i", unit[part], unit[other]) >= cosine - 1e-12
-                        part, other = part[true], other[true]
-                        first = (codes[at[part]] == codes[at[other]]).argmax(axis=1) == bundle[at[part]]
-                        found += [tuple(sorted((node[i], node[j]))) for i, j in zip(at[part[first]].tolist(), at[other[first]].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+                hits = (np.abs(probe[:, left] - probe[:, left + step]) <= WINDOW).sum(axis=0)
+                hit = left[hits >= plan.collisions]
+                verified(hit, hit + step)
+        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        member, place = np.unique(np.concatenate([node[a], node[b]]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        near = np.bincount(x, copies[b], len(member)) + np.bincount(y, copies[a], len(member))
+        least = member[_smallest(len(member), x, y)] if len(member) else member
+        return pa.RecordBatch.from_arrays([pa.array(member), pa.array(least), pa.array(near.astype(np.int64))], ["id", "least", "near"])
 
     return by_group(solve)
 
 
 def links(nodes: DataFrame, plan: Plan, cosine: float = COSINE, kind: str = "f8") -> DataFrame:
-    """Linked pairs (a, b) of distinct vectors (node, vector), whose numbers ``kind`` holds exactly."""
-    stored = written(nodes.select("node", "vector").mapInArrow(_cells(plan, kind), "node binary, vector binary, codes binary, cells array<long>"), "cells")
-    placed = stored.select("node", "vector", "codes", F.posexplode("cells").alias("bundle", "cell"))
-    counts = stored.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter("count > 1")
-    blocks = F.ceil(F.col("count") / CELL_ROWS).cast("int")
-    dealt = placed.join(counts.select("cell", blocks.alias("blocks")), "cell")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """(id, least, near) of linked nodes (id, copies, vector), whose numbers ``kind`` holds exactly.
+
+    A node has a row for each task that finds links of it: ``near`` adds up to the number of linked vectors, and the
+    pairs (id, least) connect what links connect.
+    """
+    stored = written(nodes.select("id", "copies", "vector").mapInArrow(_dealt(plan, kind), "id long, copies long, vector binary, cells array<long>"), "cells")
+    placed = stored.select("id", "copies", "vector", F.posexplode("cells").alias("bundle", "cell"))
+    large = stored.select(F.explode("cells").alias("cell")).groupBy("cell").count().filter(f"count > {CELL_ROWS}")
+    large = written(large.select("cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("blocks"), "count"), "large")
+    if small_enough(large):
+        placed = placed.join(F.broadcast(large.drop("count")), "cell", "left")
+    else:
+        placed = join_hot(placed, large, ["cell"], "count", "left", stored.count() * plan.bundles)
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("block", "with"), F.greatest("block", "with")
-    grouped = dealt.select(F.when(F.col("blocks") == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "bundle", "node", "vector", "codes")
-    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_pairs(plan, cosine, kind), "a binary, b binary")
+    grouped = dealt.select(F.when(blocks == 1, F.col("cell")).otherwise(F.xxhash64("cell", low, high)).alias("group"), "block", (F.col("block") == F.col("with")).alias("diagonal"), "bundle", "id", "copies", "vector")
+    return grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(plan, cosine, kind), "id long, least long, near long")
 
 
 def classes(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     named = written(vectors.select("vec_id", "embedding").mapInArrow(_named, "vec_id long, node binary, vector array<double>"), "named")
-    nodes = written(named.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "nodes")
+    nodes = named.filter("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     plan = Plan.calibrated(nodes.count(), cosine, recall)
     kind = "f4" if "float" in vectors.schema["embedding"].dataType.simpleString() else "f8"
     found = written(links(nodes, plan, cosine, kind), "links")
-    both = found.union(found.select("b", "a"))
-    size = nodes.select(F.col("node").alias("b"), "copies")
-    near = both.join(size, "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("near"))
-    labelled = nodes.select("node", "first_id", "copies").join(near, "node", "left").join(components(found), "node", "left")
-    labelled = written(labelled.select("node", "first_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "node").alias("label")), "labelled")
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    known = labelled.join(least, "label").select("node", "n_links", "component_id")
-    out = named.select("vec_id", "node").join(known, "node", "left")
+    near = found.groupBy("id").agg(F.sum("near").alias("near"))
+    label = components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), "label")
+    labelled = nodes.select("id", "node", "first_id", "copies").join(near, "id", "left").join(label, "id", "left")
+    labelled = written(labelled.select("node", "first_id", "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("label")), "labelled")
+    least = written(labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes")), "least")
+    known = written(join_hot(labelled, least, ["label"], "nodes").select("node", "copies", "n_links", "component_id"), "known")
+    out = join_hot(named.select("vec_id", "node"), known, ["node"], "copies", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LOWER, Hasher, Texts, chunks, runs
+from ._text import LOWER, Spans, Texts, chunks, runs
 
 #: Labelled documents of each class that the fit uses at most.
 MAX_FIT = 6000
@@ -50,12 +50,12 @@ def features(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     cut[part.offsets] = True
     number = np.cumsum(cut[: len(data)])[start] if len(start) else start
     _, sentence = np.unique(number, return_inverse=True)
-    hasher = Hasher(data)
+    hasher = Spans(data)
     mask = np.uint64(BUCKETS - 1)
-    found, where = [hasher.spans(start, end) & mask], [sentence]
+    found, where = [hasher.hashes(start, end) & mask], [sentence]
     for k in STEMS:
         long = np.flatnonzero(end - start > k)
-        found.append((hasher.spans(start[long], start[long] + k) ^ np.uint64(0x5A5A5 * k)) & mask)
+        found.append((hasher.hashes(start[long], start[long] + k) ^ np.uint64(0x5A5A5 * k)) & mask)
         where.append(sentence[long])
     first = np.concatenate([[True], np.diff(sentence) > 0]) if len(start) else np.zeros(0, bool)
     text = np.searchsorted(part.offsets, start[first], "right") - 1

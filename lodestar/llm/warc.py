@@ -2,11 +2,13 @@
 
 Writing: payload digests are grouped first; of equal payloads of at least ``LEAST`` bytes the one with the
 smallest id is a response record and the others are revisits without a block.  Records are compressed one by
-one and written by Spark's own text writer (to whatever store the path names): a row is a member, and the line
-separator is an empty gzip member, which every reader of concatenated members skips.
+one and written by Spark's own text writer (to whatever store the path names): a row is a run of members and a file,
+closed at ``FILE_BYTES``, so that a file holds that much and one record more at most.  The writer gives a row's bytes
+out as they are, though they are no text, and ends it with an empty gzip member (its line separator), which every reader
+of concatenated members skips; a test reads the files with an ordinary gzip reader.
 
-Reading: archives come as whole binary files (the writer bounds their size; give foreign ones in such parts).
-Every member or plain record is checked (gzip checksum, version line, content length, record end, payload
+Reading: archives come as whole binary files, each held in a task (a foreign one may have up to the 2 GB that a row may
+have), and records are handed on as they are found, so that payloads of one member at a time are held.  Every member or plain record is checked (gzip checksum, version line, content length, record end, payload
 digest).  After a failed check the reader searches for the next member or version line that passes, goes on
 from there, and logs the bytes between as quarantined.  Within a member the search runs over its content, and the
 gap names the member's place in the file and the content's bytes.  Of a member that breaks off or fails its checksum
@@ -14,7 +16,8 @@ the records that were decompressed and pass their own checks are kept, and the m
 passes, that record is quarantined, as the damage can only be there.
 
 Defined cases: a null payload is empty; rows without id are written and read with an empty id; repeated rows
-give repeated records (the first of equal ids is the response); an empty table gives an archive without records.
+give repeated records (the first of equal ids is the response); urls and payloads of any length are written and read;
+line breaks in a url become spaces; an empty table gives an archive without records; further columns are not written.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._scratch import join_keys, new_path, written
+from ._scratch import join_hot, join_keys, new_path, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
-#: Records in a file at most, so that a file can be read as one row.
-RECORDS_PER_FILE = 2000
+#: Compressed bytes from which on a file is closed, so that a file can be read as one row.
+FILE_BYTES = 32 << 20
 #: A gzip member without content: header, an empty final block, checksum and size of nothing.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" + "0300" + "00000000" + "00000000")
 VERSION = b"WARC/1."
@@ -76,11 +79,11 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.unhex(F.sha2(body, 256)).alias("digest"), F.octet_length(body).alias("size"))
     rows = written(rows.filter(f"size >= {least}").groupBy("digest", "page_id").agg(F.count("*").alias("n")), "payloads")
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("total")).filter("total > 1 AND refers_to IS NOT NULL").drop("total")
-    return rows.join(first, "digest").filter("NOT (page_id <=> refers_to) OR n > 1").select("page_id", "digest", "refers_to")
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("total")).filter("total > 1 AND refers_to IS NOT NULL")
+    return join_hot(rows, written(first, "first"), ["digest"], "total").filter("NOT (page_id <=> refers_to) OR n > 1").select("page_id", "digest", "refers_to")
 
 
-def write(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """One record per row of pages (page_id, url, html)."""
     again = written(revisits(pages), "revisits").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     body = F.coalesce("html", F.lit(""))
@@ -95,18 +98,24 @@ def write(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None
         joined = join_keys(named, again, F.col("page_id").eqNullSafe(F.col("_page")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        file = lambda parts: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["value"])
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200).to_pydict()
-                out = []
                 for page, url, html, target in zip(rows["page_id"], rows["url"], rows["html"], rows["refers_to"], strict=True):
                     payload = html.encode()
                     digest = hashlib.sha256(payload).hexdigest()
                     out.append(member(record("response" if target is None else "revisit", page, url, digest, target, payload if target is None else b"")))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    size += len(out[-1])
+                    if size >= file_bytes:
+                        yield file(out)
+                        out, size = [], 0
+        if out:
+            yield file(out)
 
     members = joined.select("page_id", "url", "html", "refers_to").mapInArrow(run, "value binary")
-    writer = members.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", per_file)
+    writer = members.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
     writer.option("lineSep", EMPTY_MEMBER.decode("latin1")).option("encoding", "ISO-8859-1").text(path)
 
 
@@ -209,9 +218,9 @@ def _records(content: bytes) -> Found:
     return found
 
 
-def read_archive(data: bytes) -> Found:
-    """All records of an archive whose checks pass, and the gaps between them."""
-    found, at, bad, why = Found(), 0, None, ""
+def scan(data: bytes) -> Iterator[Found]:
+    """An archive's records whose checks pass and the gaps between them, member by member."""
+    at, bad, why = 0, None, ""
     view = memoryview(data)
     broken, upto = b"", 0  # the content of the last member that gave records and ends early, and how far it was read
     while at < len(data):
@@ -235,22 +244,32 @@ def read_archive(data: bytes) -> Found:
         if at < upto and not problem and data[at:end] in broken:  # stored, and read with that member
             at = end
             continue
+        out = Found([(at, header, payload) for _, header, payload in inside.records])
         if bad is not None and (inside.records or not problem):
-            found.gaps.append((bad, at, why))
+            out.gaps.append((bad, at, why))
             bad = None
-        found.records += [(at, header, payload) for _, header, payload in inside.records]
         if not problem:
-            found.gaps += [(at, end, f"bytes {a} to {b} of the member: {reason}") for a, b, reason in inside.gaps]
+            out.gaps += [(at, end, f"bytes {a} to {b} of the member: {reason}") for a, b, reason in inside.gaps]
+            yield out
             at = end
             continue
+        yield out
         if bad is None:
             bad, why = at, problem
         if inside.records:
             broken, upto = content, end
         at = min((p for p in (data.find(_MEMBER, at + 1), data.find(VERSION, at + 1)) if p >= 0), default=len(data))
     if bad is not None:
-        found.gaps.append((bad, len(data), why))
-    return found
+        yield Found(gaps=[(bad, len(data), why)])
+
+
+def read_archive(data: bytes) -> Found:
+    """All of an archive at once."""
+    out = Found()
+    for found in scan(data):
+        out.records += found.records
+        out.gaps += found.gaps
+    return out
 
 
 _SCHEMA = "path string, start long, end long, reason string, kind string, page_id long, url string, digest string, refers_to long, payload binary"
@@ -266,16 +285,24 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                where, found = batch.column(0)[i].as_py(), read_archive(batch.column(1)[i].as_py())
-                rows = [(where, a, b, reason, None, None, None, None, None, None) for a, b, reason in found.gaps]
-                for at, header, payload in found.records:
-                    digest = hashlib.sha256(payload).hexdigest() if header.get("warc-type") == "response" else header.get("warc-payload-digest", "").removeprefix("sha256:")
-                    rows.append((where, at, len(payload), None, header.get("warc-type"), number(header.get("warc-record-id", "")), header.get("warc-target-uri"), digest, number(header.get("warc-refers-to", "")), payload if payloads else None))
-                for at in range(0, len(rows), 500):
-                    columns = zip(*rows[at : at + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                where, rows, size = batch.column(0)[i].as_py(), [], 0
+                for found in scan(batch.column(1)[i].as_py()):
+                    rows += [(where, a, b, reason, None, None, None, None, None, None) for a, b, reason in found.gaps]
+                    for at, header, payload in found.records:
+                        digest = hashlib.sha256(payload).hexdigest() if header.get("warc-type") == "response" else header.get("warc-payload-digest", "").removeprefix("sha256:")
+                        rows.append((where, at, len(payload), None, header.get("warc-type"), number(header.get("warc-record-id", "")), header.get("warc-target-uri"), digest, number(header.get("warc-refers-to", "")), payload if payloads else None))
+                        size += len(payload) if payloads else 0
+                        if len(rows) >= 500 or size >= 1 << 24:
+                            yield table(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield table(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, _SCHEMA)
@@ -292,5 +319,7 @@ def write_and_read(pages: DataFrame) -> DataFrame:
     found = written(read(spark, path, payloads=False).filter("reason IS NULL").select("kind", "page_id", "digest", "refers_to", F.col("end").alias("size")), "records")
     plain = found.filter("kind = 'response'").select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     full = plain.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes").dropDuplicates(["refers_to", "digest"])
-    again = found.filter("kind = 'revisit'").join(full, ["refers_to", "digest"], "left")
+    again = found.filter("kind = 'revisit'").select("page_id", "kind", "refers_to", "digest")
+    full = written(again.groupBy("refers_to", "digest").count().join(full, ["refers_to", "digest"]), "full")
+    again = join_hot(again, full, ["refers_to", "digest"], "count", "left")
     return plain.unionByName(again.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestar.llm import _text, bagminhash
+from lodestar.llm import _pieces, _text, bagminhash
 from lodestar.llm._components import components
 
 
@@ -93,8 +93,8 @@ def test_pairs_of_a_bucket_are_verified_whatever_their_signatures(spark, docs, w
     frame = docs([(1, base), (2, near(base, 3, 2)), *((i, words(700 + i, 150)) for i in range(3, 30))])
     signed = {}
     for i, text in ((r.doc_id, r.text) for r in frame.collect()):
-        hashes, begins = _text.words(next(_text.chunks(pa.array([text]))))
-        signed[i] = (bagminhash._key_bytes(hashes, begins)[0], len(text.split()) - 4)
+        hashes, begins = _pieces.words(next(_text.chunks(pa.array([text]))))
+        signed[i] = (_text.sequence_keys(hashes, begins)[0], len(text.split()) - 4)
     first = next(i for i in range(3, 30) if signed[i][0] < min(signed[1][0], signed[2][0]))
     rng = np.random.default_rng(0)  # one band in common, and no other slot
     rows = [(signed[i][0], i, signed[i][1], [5, *(1000 * i + k for k in range(35))], rng.bytes(252)) for i in (1, 2, first)]

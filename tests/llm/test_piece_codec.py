@@ -32,6 +32,18 @@ def test_decode_frame(docs, texts, spark):
     assert [r.decoded for r in odd] == [None, "\x02", ""]
 
 
+def test_decode_carries_clashing_columns(spark):
+    df = spark.createDataFrame([(1, [5], "x", 2)], "doc_id long, ids array<int>, decoded string, text int")
+    out = piece_codec.decode(df, PATH)
+    assert out.columns == ["doc_id", "ids", "decoded", "text", "decoded_"] and tuple(out.first())[2:] == ("x", 2, "\x02")
+
+
+def test_a_long_text(docs, words):
+    text = words(3, 200_000)
+    (r,) = piece_codec.round_trip(docs([(1, text)]), PATH).collect()
+    assert r.parity and r.restored and r.n_ids == len(r.ids) > 200_000
+
+
 def test_unigram_model_scores():
     model = piece_codec.PieceModel(pieces=[("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁ab", -2.0, 1), ("▁", -3.0, 1)], kind=piece_codec.UNIGRAM)
     tokenizer = piece_codec.rebuilt(model)

@@ -40,8 +40,8 @@ def test_recall_against_brute_force(spark, rows):
     n, label = brute(rows)
     got = {r.vec_id: r for r in p.classes(spark.createDataFrame(rows, VECTORS)).collect()}
     found = np.array([got[i].n_links for i in range(len(rows))])
-    assert (found <= n).all() and found.sum() >= 0.97 * n.sum()
-    assert np.mean([got[i].component_id == label[i] for i in range(len(rows))]) > 0.97
+    assert (found <= n).all() and found.sum() >= p.RECALL * n.sum()
+    assert np.mean([got[i].component_id == label[i] for i in range(len(rows))]) >= p.RECALL
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
@@ -63,6 +63,45 @@ def test_odd_vectors(spark):
 def test_plan_grows_slowly_and_keeps_recall():
     small, large = p.Plan.calibrated(10_000), p.Plan.calibrated(10_000_000)
     assert small.width < large.width <= 20
-    near = p.same_cell(np.sqrt(0.2))
     for plan in (small, large):
-        assert 1 - (1 - near**plan.width) ** plan.bundles >= p.RECALL
+        assert (1 - (1 - p.same_side(p.COSINE) ** plan.width) ** plan.bundles) * (1 - p.COUNT_LOSS) >= p.RECALL
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6000, 64))
+    pairs = np.stack([at_cosine(v, 0.9005, rng) for v in base])
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(np.concatenate([base, pairs]))]
+    assert p.Plan.calibrated(len(rows)).width >= 4
+    got = {r.vec_id: r.component_id for r in p.classes(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert np.mean([got[i] == got[6000 + i] for i in range(6000)]) >= p.RECALL - 0.002  # two standard deviations
+
+
+def test_nothing_below_the_threshold_is_linked(spark):
+    a = np.zeros(8)
+    a[0] = 1.0
+    rows = []
+    for i, cosine in enumerate((0.8999999999995, 0.9000000000005)):
+        b = np.zeros(8)
+        b[0], b[1] = cosine, np.sqrt(1 - cosine**2)
+        rows += [(10 * i, np.roll(a, 4 * i).tolist(), 0), (10 * i + 1, np.roll(b, 4 * i).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in p.classes(df).collect()} == {0: 0, 1: 0, 10: 1, 11: 1}
+
+
+def test_counts_by_tiles_and_by_steps_agree(spark, rows, monkeypatch):
+    whole = sorted(map(tuple, p.classes(spark.createDataFrame(rows, VECTORS)).collect()))
+    for tiled in (2, 10**6):
+        monkeypatch.setattr(p, "TILED", tiled)
+        assert sorted(map(tuple, p.classes(spark.createDataFrame(rows, VECTORS)).collect())) == whole
+
+
+def test_a_group_of_near_copies_gives_no_pairs(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + 0.05 * rng.normal(size=32)).astype(np.float32).tolist(), 0) for i in range(1500)]
+    named = spark.createDataFrame([(i, 1, [float(x) for x in v]) for i, v, _ in rows], "id long, copies long, vector array<double>")
+    found = p.links(named, p.Plan.calibrated(1500), kind="f4")
+    assert found.count() <= 1500 * 16
+    got = p.classes(spark.createDataFrame(rows, VECTORS)).collect()
+    assert all(r.n_links == 1499 and r.component_id == 0 for r in got)

@@ -146,3 +146,22 @@ def test_header_without_end_stops_at_the_next_version_line():
     damaged = records[0][: records[0].index(b"WARC-Payload")] + b"x" * (2 << 20) + b"\r\n"
     found = warc.read_archive(damaged + records[1])
     assert ids(found) == urns(1) and found.gaps == [(0, len(damaged), "header without end")]
+
+
+def test_files_are_bounded_by_bytes(spark):
+    rng = random.Random(5)
+    rows = [(i, "http://x/" + "u" * (2 << 20 if i == 7 else 9), rng.randbytes(20_000).hex()) for i in range(60)]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), path, file_bytes=200_000)
+    files = spark.read.format("binaryFile").load(path).select("length", "content").collect()
+    one = max(len(warc.member(r[2].encode())) for r in rows) + 20_000
+    assert len(files) > 5 and all(f.length <= 200_000 + one for f in files)
+    assert sum(gzip.decompress(bytes(f.content)).count(b"WARC/1.1\r\n") for f in files) == 60
+    found = warc.read(spark, path).collect()
+    assert {r.page_id: (len(r.url), bytes(r.payload).decode()) for r in found} == {i: (len(u), h) for i, u, h in rows}
+
+
+def test_columns_beyond_the_three_and_hot_payloads(spark):
+    rows = [(i, "u", "z" * 120 if i % 3 else f"own {i} " * 30, "clash", 1) for i in range(300)]
+    got = warc.write_and_read(spark.createDataFrame(rows, PAGES + ", digest string, refers_to int")).collect()
+    assert sorted((r.page_id, r.refers_to) for r in got) == [(i, 1 if i % 3 and i != 1 else None) for i in range(300)]

@@ -1,7 +1,8 @@
 """Intermediate and stored tables in the folder that the whole cluster shares.
 
 Tables are written as Parquet below ``spark.checkpoint.dir``, so a lost executor costs the tasks it was running
-and nothing that was finished.  A local folder is used only where the session names none, as in tests.
+and nothing that was finished.  Where the session names none, a cluster's warehouse folder is used, and a temporary
+folder only in local mode, where driver and executors are one process.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def base_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="lodestar-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="lodestar-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/lodestar/{spark.sparkContext.applicationId}"
 

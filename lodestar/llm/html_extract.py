@@ -10,8 +10,10 @@ The trees are fitted once per process on pages made from a seeded generator of l
 to be main text or not: no table has labels for pages.
 
 Defined cases: a null or empty page has an empty text; text without any markup is main text; unclosed and
-stray tags close as browsers close them; a line break is white space; repeated rows give repeated results; the
-words in svg and math are part of the text around them; noscript and object are nodes of their own.
+stray tags close as browsers close them; a quote begins a value only after an equals sign, and one that is never closed
+is an ordinary letter; a line break is white space; pages of any length and depth are read in one pass; repeated rows
+give repeated results; the words in svg and math are part of the text around them; noscript and object are nodes of
+their own; an empty table gives an empty result; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -55,7 +57,9 @@ _HINT = {word: i for i, words in enumerate(HINTS.values()) for word in words.spl
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "ul", "li", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "body")
 _TAG = {t: i for i, t in enumerate(TAGS)} | {"h3": 6, "h4": 6, "h5": 6, "h6": 6, "ol": 7, "dl": 7, "menu": 7, "dt": 8, "dd": 8, "th": 15, "tr": 14, "tbody": 14, "fieldset": 13, "html": 19, "figcaption": 18}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?|<[!?/][^>]*>?""", re.S)
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+)>?|<[!?/][^>]*>?""", re.S
+)
 _HINTED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANK = re.compile(r"\s+")
@@ -88,12 +92,48 @@ def hints_of(attributes: str) -> tuple[int, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements, innermost last: their names, the nodes that take their text, and where each name stands."""
+
+    def __init__(self) -> None:
+        self.names, self.nodes = ["body"], [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of elements that are nodes
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCK or name in WITHIN:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.names.pop()].pop()
+        self.nodes.pop()
+        if self.blocks and self.blocks[-1] == len(self.names):
+            self.blocks.pop()
+
+    def last(self, names: tuple[str, ...]) -> int:
+        """Where the innermost open element of these names stands; 0 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def within(self, names: tuple[str, ...], holders: tuple[str, ...]) -> int:
+        """The same, not looking beyond the innermost of ``holders``."""
+        found = self.last(names)
+        return found if found >= self.last(holders) else 0
+
+    def holds_nodes(self, to: int) -> bool:
+        """Whether an element from place ``to`` on is a node."""
+        return bool(self.blocks) and self.blocks[-1] >= to
+
+
 def parse(page: str) -> list[Node]:
     """The page's nodes in page order; the first is an implicit root."""
     nodes = [Node("body", -1, 0, ())]
-    stack = [("body", 0)]  # open elements: name, and the node that takes their text
+    stack = _Open()
     pieces: list[str] = []
-    order, at, link = 0, 0, 0
+    ends: dict[str, re.Match | None] = {}  # the next closing tag of a raw element, as far as it was searched for
+    order, at = 0, 0
 
     def flush() -> None:
         nonlocal order
@@ -101,31 +141,32 @@ def parse(page: str) -> list[Node]:
             text = _BLANK.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                nodes[stack[-1][1]].texts.append((order, text))
+                nodes[stack.nodes[-1]].texts.append((order, text))
                 order += 1
 
     def close(to: int) -> None:
-        """Close the open elements from place ``to`` of the stack on."""
-        nonlocal link
-        if any(name in BLOCK or name in WITHIN for name, _ in stack[to:]):
+        """Close the open elements from place ``to`` on."""
+        if stack.holds_nodes(to):
             flush()
-        link -= sum(name == "a" for name, _ in stack[to:])
-        del stack[to:]
-
-    def place(names: tuple[str, ...], within: tuple[str, ...]) -> int:
-        """Where the innermost open element of ``names`` lies, not looking beyond ``within``; 0 if nowhere."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in within:
-                return 0
-        return 0
+        while len(stack.names) > to:
+            stack.pop()
+
+    def begin(name: str, attributes: str) -> None:
+        """A node."""
+        parent = stack.nodes[-1]
+        nodes.append(Node(name, parent, nodes[parent].depth + 1, hints_of(attributes)))
+        stack.push(name, len(nodes) - 1)
 
     def say(text: str) -> None:
         if text:
             pieces.append(text)
-            if link:
-                nodes[stack[-1][1]].linked += len(text.strip())
+            if stack.places.get("a"):
+                nodes[stack.nodes[-1]].linked += len(text.strip())
+
+    def closing(name: str) -> re.Match | None:
+        if name not in ends or (ends[name] is not None and ends[name].start() < at):
+            ends[name] = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+        return ends[name]
 
     found = _TOKEN.search(page)
     while found:
@@ -135,50 +176,40 @@ def parse(page: str) -> list[Node]:
         if not name:
             pass
         elif found[1]:
-            to = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if to and (name in BLOCK or not any(n in BLOCK for n, _ in stack[to + 1 :])):
+            to = stack.last((name,))
+            if to and (name in BLOCK or not stack.holds_nodes(to + 1)):
                 close(to)
             elif name == "p":
                 flush()
-        elif found[3].endswith("/") and (name in FOREIGN or any(n in FOREIGN for n, _ in stack)):
+        elif found[3].endswith("/") and (name in FOREIGN or stack.last(tuple(FOREIGN))):
             pass
         elif name in RAW:
             if name != "head":
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                end = closing(name)
                 at = end.end() if end else (len(page) if name in ("script", "style", "title", "textarea") else at)
                 if not found[3].endswith("/"):
                     pieces.append(" ")
         elif name in VOID:
             pieces.append(" ")
-            nodes[stack[-1][1]].images += name == "img"
+            nodes[stack.nodes[-1]].images += name == "img"
             if name == "hr":
                 flush()
+        elif name in WITHIN:
+            flush()
+            begin(name, found[3])
+        elif name in ("body", "html"):
+            flush()
+            nodes[0].hints = tuple({*nodes[0].hints, *hints_of(found[3])})
+        elif name in BLOCK:
+            flush()
+            if to := stack.within(("p",), ("td", "th", "li", "blockquote", "table")):
+                close(to)
+            if to := stack.within(CLOSES.get(name, ()), HOLDERS.get(name, ())):
+                close(to)
+            begin(name, found[3])
         else:
-            if name in WITHIN:
-                flush()
-                parent = stack[-1][1]
-                nodes.append(Node(name, parent, nodes[parent].depth + 1, hints_of(found[3])))
-                stack.append((name, len(nodes) - 1))
-            elif name in BLOCK:
-                flush()
-                if name in ("body", "html"):
-                    nodes[0].hints = tuple({*nodes[0].hints, *hints_of(found[3])})
-                    found = _TOKEN.search(page, at)
-                    continue
-                to = place(("p",), ("td", "th", "li", "blockquote", "table"))
-                if to:
-                    close(to)
-                to = place(CLOSES.get(name, ()), HOLDERS.get(name, ()))
-                if to:
-                    close(to)
-                parent = stack[-1][1]
-                nodes.append(Node(name, parent, nodes[parent].depth + 1, hints_of(found[3])))
-                stack.append((name, len(nodes) - 1))
-            else:
-                stack.append((name, stack[-1][1]))
-                if name == "a":
-                    link += 1
-                    nodes[stack[-1][1]].links += 1
+            stack.push(name, stack.nodes[-1])
+            nodes[stack.nodes[-1]].links += name == "a"
         found = _TOKEN.search(page, at)
     say(page[at:])
     flush()

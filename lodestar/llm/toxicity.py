@@ -5,12 +5,17 @@ letters, for stems), and a document's score is the noisy-or of its sentences, 1
 sentence suffices.  Only documents carry labels; the likelihood of the noisy-or trains the sentence scorer,
 which then tells where in a document the offending sentences are.
 
-The scorer is fitted on the driver from at most ``MAX_FIT`` labelled documents of each class (those with
-the smallest hashes of their texts and ids).  Scoring is one pass without a shuffle, over whole texts.
+The scorer is fitted on the driver from a sample of the labelled documents: of each class those with the smallest
+hashes of their ids, at most ``MAX_FIT`` and at most ``FIT_BYTES`` of text.  The driver never sees their texts: executors
+count in how many documents of each class a feature is, the ``MAX_FEATURES`` that tell the classes apart best make the
+model, and what comes to the driver are the numbers of these features, sentence by sentence.  Scoring is one pass without
+a shuffle, over whole texts.
 
 Defined cases: null or empty text has no sentence and scores 0; documents without label, with a null label
 or held out are never learnt from; of contradicting labels the largest counts; without positive or without
-negative examples every score is 0; repeated rows give repeated results.
+negative examples every score is 0; a text of any length is scored as a whole, and learnt from as a whole or not at all;
+repeated rows give repeated results, and ties of hashes are ordered by id; an empty table gives an empty result;
+:func:`score` reads doc_id and text only, and :func:`clean` carries all columns.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ._scratch import written
 from ._text import LOWER, Spans, Texts, chunks, runs
 
 #: Labelled documents of each class that the fit uses at most.
 MAX_FIT = 6000
+#: Bytes of text of each class that the fit uses at most; texts of more than a 32nd of it are not learnt from.
+FIT_BYTES = 24 << 20
 #: Buckets of hashed features.
 BUCKETS = 1 << 20
 #: Lengths of word beginnings that are features beside the whole word.
@@ -88,38 +96,57 @@ class Scorer:
         return -np.expm1(np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(part)))
 
 
-def train(texts: list[str] | pa.Array, toxic: np.ndarray, rounds: int = 120, decay: float = 2e-5) -> Scorer:
+@dataclass
+class Bags:
+    """Documents as bags of sentences as sets of chosen features: for each feature of a sentence its place among the
+    chosen ones and its sentence, for each sentence its document, for each document its label."""
+
+    column: np.ndarray
+    sentence: np.ndarray
+    text: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, part: Texts, index: np.ndarray, toxic: np.ndarray) -> Bags:
+        """``index`` has the place of each feature among the chosen ones, or -1."""
+        found, sentence, text, _ = features(part)
+        use = index[found] >= 0
+        found, sentence = _once(found[use], sentence[use])
+        return cls(index[found], sentence, text, toxic)
+
+    @classmethod
+    def together(cls, parts: list[Bags]) -> Bags:
+        sentences = np.cumsum([0] + [len(p.text) for p in parts])
+        texts = np.cumsum([0] + [len(p.toxic) for p in parts])
+        columns = ([p.column for p in parts], [p.sentence + n for p, n in zip(parts, sentences, strict=False)], [p.text + n for p, n in zip(parts, texts, strict=False)])
+        return cls(*(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int32) for c in columns), np.concatenate([np.zeros(0, bool), *[p.toxic for p in parts]]))
+
+
+def slopes(bags: Bags, w: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of the labels (with the weights' penalty), and its gradient; the last is the bias."""
+    n_texts, n_sentences = len(bags.toxic), len(bags.text)
+    z = np.bincount(bags.sentence, weights=w[bags.column], minlength=n_sentences) + w[-1]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = np.bincount(bags.text, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_texts)
+    seen = np.maximum(-np.expm1(clean), 1e-9)
+    loss = -(np.log(seen[bags.toxic]).sum() + clean[~bags.toxic].sum()) / n_texts + decay / 2 * (w[:-1] ** 2).sum()
+    odds = np.where(bags.toxic, -np.exp(clean) / seen, 1.0)
+    slope = odds[bags.text] * p / n_texts
+    gradient = np.append(np.bincount(bags.column, weights=slope[bags.sentence], minlength=len(w) - 1), slope.sum())
+    gradient[:-1] += decay * w[:-1]
+    return loss, gradient
+
+
+def learn(bags: Bags, chosen: np.ndarray, rounds: int = 120, decay: float = 2e-5) -> Scorer:
     """Maximise the likelihood of document labels under the noisy-or (Adam over all bags)."""
     weights = np.zeros(BUCKETS, np.float32)
-    toxic = np.asarray(toxic, bool)
-    if not toxic.any() or toxic.all():
-        return Scorer(weights, -30.0)
-    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-    chosen = _telling(column, toxic)
-    if not len(chosen):
+    if not len(chosen) or not bags.toxic.any() or bags.toxic.all():
         return Scorer(weights, -30.0)
-    index = np.full(BUCKETS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    parts, n_sentences = [], 0
-    for chunk in chunks(column):
-        found, sentence, text, _ = features(chunk)
-        use = index[found] >= 0
-        found, sentence = _once(found[use], sentence[use])
-        parts.append((index[found], (sentence + n_sentences).astype(np.int32), text + chunk.first))
-        n_sentences += len(text)
-    column, sentence, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-    n_texts = len(toxic)
-    w = np.zeros(len(chosen) + 1)  # the last is the bias
-    w[-1] = np.log(toxic.mean() / max(1.0, n_sentences / n_texts))
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(bags.toxic.mean() / max(1.0, len(bags.text) / len(bags.toxic)))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=w[column], minlength=n_sentences) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_texts)
-        odds = np.where(toxic, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0)
-        slope = odds[text] * p / n_texts
-        gradient = np.append(np.bincount(column, weights=slope[sentence], minlength=len(chosen)), slope.sum())
-        gradient[:-1] += decay * w[:-1]
+        _, gradient = slopes(bags, w, decay)
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         w -= 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -127,47 +154,89 @@ def train(texts: list[str] | pa.Array, toxic: np.ndarray, rounds: int = 120, dec
     return Scorer(weights, float(w[-1]))
 
 
-def _telling(column: pa.Array, toxic: np.ndarray) -> np.ndarray:
+def present(part: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct features, as (text, feature)."""
+    found, sentence, text, _ = features(part)
+    pair = np.unique(text[sentence] * BUCKETS + found)
+    return pair // BUCKETS, pair % BUCKETS
+
+
+def telling(with_pos: np.ndarray, with_neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
     """Features by how far their presence in documents separates the classes (chi-square), best first."""
-    with_pos, with_neg = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for chunk in chunks(column):
-        found, sentence, text, _ = features(chunk)
-        pair = np.unique((text[sentence] + chunk.first) * BUCKETS + found)
-        at, found = pair // BUCKETS, pair % BUCKETS
-        np.add.at(with_pos, found[toxic[at]], 1)
-        np.add.at(with_neg, found[~toxic[at]], 1)
-    n_pos, n_neg = toxic.sum(), (~toxic).sum()
     often = np.flatnonzero(with_pos + with_neg >= 3)
-    with_pos, n = with_pos[often].astype(float), (with_pos[often] + with_neg[often]).astype(float)
-    expected = n * n_pos / (n_pos + n_neg)
-    score = (with_pos - expected) ** 2 / (expected * n_neg / (n_pos + n_neg))
+    pos, n = with_pos[often].astype(float), (with_pos[often] + with_neg[often]).astype(float)
+    expected = n * n_pos / max(n_pos + n_neg, 1)
+    score = (pos - expected) ** 2 / np.maximum(expected * n_neg / max(n_pos + n_neg, 1), 1e-9)
     best = np.argsort(-score, kind="stable")[:MAX_FEATURES]
     return often[best[score[best] > 10.8]]  # one in a thousand by chance
 
 
+def train(texts: list[str], toxic: np.ndarray) -> Scorer:
+    """A scorer from texts that are at hand."""
+    toxic = np.asarray(toxic, bool)
+    parts = list(chunks(pa.array(texts, pa.string())))
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for part in parts:
+        at, found = present(part)
+        np.add.at(counts, (toxic[at + part.first].astype(int), found), 1)
+    chosen = telling(counts[1], counts[0], int(toxic.sum()), int((~toxic).sum()))
+    index = np.full(BUCKETS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen))
+    return learn(Bags.together([Bags.of(p, index, toxic[p.first : p.first + len(p)]) for p in parts]), chosen)
+
+
 def fold(doc_id: Column, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null id: 0)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Scorer:
-    """A scorer from the labelled documents outside the held-out fold, at most ``max_fit`` of each class."""
+def sampled(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_bytes: int = FIT_BYTES) -> DataFrame:
+    """The rows (text, toxic) to learn from, stored."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    known = known.filter(fold(F.col("doc_id")) != 0)
-    chosen = [r for y in (0, 1) for r in known.filter((F.col("toxic") > 0) == bool(y)).orderBy(order, "doc_id").limit(max_fit).collect()]
-    if not chosen:
-        return train([], np.zeros(0, bool))
-    spark = docs.sparkSession
-    keys = spark.createDataFrame([(r[0], int(r[1] > 0)) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text", "toxic").toArrow()
-    toxic, texts = rows.column("toxic").to_numpy() > 0, rows.column("text").combine_chunks()
-    texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
-    del rows
-    found = train(pc.fill_null(texts, ""), toxic)
-    del texts
-    pa.default_memory_pool().release_unused()
-    return found
+    known = known.filter(fold(F.col("doc_id")) != 0).select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("doc_id").alias("place"))
+    first = [known.filter(F.col("toxic") == y).orderBy("place", "doc_id").limit(max_fit) for y in (False, True)]
+    keys = written(first[0].union(first[1]), "labelled")  # at most twice max_fit rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.max("text").alias("text"))
+    rows = written(rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+    before = Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.filter(F.col("bytes") * 32 <= max_bytes).select("doc_id", "toxic", F.sum("bytes").over(before).alias("upto")).filter(F.col("upto") <= max_bytes).select("doc_id")
+    return written(rows.join(F.broadcast(within), "doc_id").select("text", "toxic"), "fitted")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_bytes: int = FIT_BYTES) -> Scorer:
+    """A scorer from the labelled documents outside the held-out fold, within the bounds for each class."""
+    sample = sampled(docs, labels, max_fit, max_bytes)
+    sizes = dict(sample.groupBy("toxic").count().collect())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for part in chunks(batch.column(0)):
+                at, found = present(part)
+                number, n = np.unique(found * 2 + toxic[at + part.first], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(number // 2), pa.array(np.where(number % 2 == 1, n, 0)), pa.array(np.where(number % 2 == 0, n, 0))], ["feature", "pos", "neg"])
+
+    found = sample.mapInArrow(counted, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()  # BUCKETS rows at most
+    counts = np.zeros((2, BUCKETS), np.int64)
+    for i, name in enumerate(("neg", "pos")):
+        counts[i, found.column("feature").to_numpy()] = found.column(name).to_numpy()
+    chosen = telling(counts[1], counts[0], sizes.get(True, 0), sizes.get(False, 0))
+    if not len(chosen):
+        return Scorer(np.zeros(BUCKETS, np.float32), -30.0)
+    index = np.full(BUCKETS, -1, np.int32)
+    index[chosen] = np.arange(len(chosen))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for part in chunks(batch.column(0)):
+                bags = Bags.of(part, index, toxic[part.first : part.first + len(part)])
+                columns = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((bags.column, "<u2"), (bags.sentence, "<u4"), (bags.text, "<u4"), (bags.toxic, "u1"))]
+                yield pa.RecordBatch.from_arrays(columns, ["column", "sentence", "text", "toxic"])
+
+    rows = sample.mapInArrow(bagged, "column binary, sentence binary, text binary, toxic binary").toArrow().to_pylist()
+    opened = [Bags(*(np.frombuffer(r[n], kind) for n, kind in (("column", "<u2"), ("sentence", "<u4"), ("text", "<u4"))), np.frombuffer(r["toxic"], bool)) for r in rows]
+    return learn(Bags.together(opened), chosen)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

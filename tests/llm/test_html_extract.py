@@ -76,3 +76,39 @@ def test_frame(spark):
     assert len(got) == 6 and by[2].text == by[3].text == "" and by[None].text == "just text, nothing else but words."
     assert all(r.n_chars == len(r.text) for r in got) and by[5].text.count("\n") == 19_999
     assert h.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_stray_quotes_do_not_swallow_text():
+    first, second = "Hello there world, this is a whole sentence.", "The second paragraph doesn't say more, or does it."
+    for attributes in ("title=it's", "title='it\"s'", 'data-x="a>b" don\'t', "a = 'b' c", "'", 'x="unclosed', "x=", "=y'"):
+        (got,) = h.main_texts([f"<article><p {attributes}>{first}</p><p>{second}</p></article>"], h.model())
+        assert got == f"{first}\n{second}", attributes
+
+
+@pytest.mark.parametrize("part", ["<div>", "<span>", "<p><b>", "<svg><select>", "<table><tr><td>", "<li><p>a", "<a b=\"'", "<button>", "<!--", "<x y='"])
+def test_pages_of_open_elements_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    h.parse(part * 100_000 + "text")
+    assert time.process_time() - began < 10
+
+
+def test_decoding_against_all_choices():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        nodes = [h.Node("div", -1 if i == 0 else int(rng.integers(0, i)), 0, (), [(i, "t")] if rng.random() < 0.6 else []) for i in range(n)]
+        odds = rng.normal(size=n)
+        filled = [bool(x.texts) for x in nodes]
+        for i in range(n - 1, 0, -1):
+            filled[nodes[i].parent] |= filled[i]
+        weight = np.where(filled, odds, 0.0)
+        worth = lambda kept: sum(w if k else -w for w, k in zip(weight, kept, strict=True))  # noqa: E731, B023
+        allowed = [k for k in itertools.product((False, True), repeat=n) if all(k[nodes[i].parent] for i in range(1, n) if k[i])]
+        kept = h.decode(nodes, odds)
+        assert tuple(kept.tolist()) in allowed and worth(kept) == pytest.approx(max(map(worth, allowed)))

@@ -101,7 +101,7 @@ def test_decoding_against_all_choices():
 
     rng = np.random.default_rng(4)
     for _ in range(200):
-        n = int(rng.integers(1, 9))
+        n = int(rng.integers(2, 9))
         nodes = [h.Node("div", -1 if i == 0 else int(rng.integers(0, i)), 0, (), [(i, "t")] if rng.random() < 0.6 else []) for i in range(n)]
         odds = rng.normal(size=n)
         filled = [bool(x.texts) for x in nodes]

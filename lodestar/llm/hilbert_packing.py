@@ -6,8 +6,9 @@ partition cuts the stream of its documents' ids into sequences of ``LENGTH`` ids
 curve share sequences.  What is left at a partition's end becomes sequences whose lengths are powers of two:
 no sequence needs padding.  Sequences are numbered by partition and place, without a count over all data.
 
-Defined cases: a null or empty text is a document of the end id alone; rows without id and repeated rows are
-packed like others; an empty table gives an empty result; ties of keys are ordered by id and length.
+Defined cases: a null or empty text is a document of the end id alone; a text of any length is cut into as many pieces
+as it takes; rows without id and repeated rows are packed like others; an empty table gives an empty result; ties of keys
+are ordered by id, length and ids; further columns are not read.
 """
 
 from __future__ import annotations

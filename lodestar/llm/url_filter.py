@@ -10,8 +10,11 @@ model is a table of SYMBOLS**3 numbers whatever the corpus, held as one array th
 scoring is a projection without a join or a shuffle.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged by its
-characters (an empty one scores 0); without accepted or without rejected URLs to learn from all scores are 0;
-a score equal to the threshold is allowed; repeated rows give repeated results.
+characters (an empty one scores 0); a URL of any length is scored as a whole; characters without a symbol of their own
+share symbol 0, which also stands before the beginning; without accepted or without rejected URLs to learn from all
+scores are 0; a score equal to the threshold is allowed, and of equally good thresholds the one nearest to 0 is taken, as
+scores beyond 4 on either side count as 4 for it; repeated rows count and give repeated results; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,11 @@
-"""Four stages over the documents: toxic ones go, copies go, near copies go, and the rest is packed."""
+"""Four stages over the documents: toxic ones go, copies go, near copies go, and the rest is packed.
+
+Every stage takes any documents frame with doc_id and text and, but for the last, returns all its columns, whatever their
+names.  Defined cases, beside those of the operators: a null or empty text is never toxic, and null and empty texts are
+copies of each other; a row without id takes part in every stage (it stays as a copy only where no copy has an id, and is
+never dropped as a near copy, as nothing could name it); repeated rows are copies; without labels nothing is toxic; an empty
+table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ import numpy as np
 from ._text import LOWER, SPACE, Spans, Texts, mix, runs
 
 #: Bytes of distinct pieces that a cache holds before it is emptied.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 
 
 class PieceCache:
@@ -26,7 +26,7 @@ class PieceCache:
     compared with the bytes it stands for; pieces whose hashes collide go on to a further hash each.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 1_000_000, kind=np.int32):
+    def __init__(self, encode: Callable[[list[bytes]], list], limit: int = 500_000, kind=np.int32):
         self.encode, self.limit, self.kind = encode, limit, kind
         self.mask = np.uint64((1 << (2 * limit).bit_length()) - 1)
         self._clear()
@@ -130,7 +130,7 @@ class PieceCache:
 @lru_cache(1)
 def digests() -> PieceCache:
     """The worker's 64-bit BLAKE2 digests of words."""
-    return PieceCache(lambda words: [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"),) for w in words], kind=np.uint64)
+    return PieceCache(lambda words: [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"),) for w in words], 200_000, np.uint64)
 
 
 def words(texts: Texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ each distinct piece once, keeps its ids, and puts the ids of a text together wit
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
@@ -15,6 +16,10 @@ import numpy as np
 
 from ._text import LOWER, SPACE, Spans, Texts, mix, runs
 
+#: The tokenizers library's threads in a worker, unless its environment says otherwise: a task has one core, and every
+#: thread has its own memory arena.
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
+
 #: Bytes of distinct pieces that a cache holds before it is emptied.
 HELD_BYTES = 16 << 20
 

@@ -13,6 +13,7 @@ are ordered by id, length and ids; further columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from ._text import chunks, mix
 LENGTH = 2048
 END_ID = 1
 BUCKETS, DIMENSIONS, BITS = 256, 3, 16
+#: Bytes of ids that are sorted in one task.
+PART_BYTES = 16 << 20
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -151,6 +154,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
         yield packer.batch()
 
     tokens = written(tokenised(docs, path), "tokens")
-    curve = tokens.repartitionByRange(F.col("key").asc_nulls_last(), F.col("doc_id").asc_nulls_last()).sortWithinPartitions("key", "doc_id", "n", "ids")
+    size = (tokens.agg(F.sum("n")).first()[0] or 0) * np.dtype(kind).itemsize
+    parts = math.ceil(size / PART_BYTES) + 1  # grows with the input, so that a task does not
+    curve = tokens.repartitionByRange(parts, F.col("key").asc_nulls_last(), F.col("doc_id").asc_nulls_last()).sortWithinPartitions("key", "doc_id", "n", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return curve.select("doc_id", "ids").mapInArrow(run, schema + (", ids array<long>" if with_ids else ""))

@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from ._pieces import words
 from ._scratch import written
-from ._text import chunks, mix
+from ._text import chunks, distinct, mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text in a group of blocks that asks and is answered together.
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 16 << 20
 #: Bytes of text for which there is one shard of n-grams.
 SHARD_BYTES = 16 << 20
 #: Context-frequency buckets: 0, 1, 2 to 3, 4 to 7, ...
@@ -152,14 +152,19 @@ class Block:
         out[self.begins[:-1]] = first
         return out
 
-    def pairs(self) -> np.ndarray:
-        return mix(self.before(self.token, _BEGIN) * np.uint64(3) + self.token) | np.uint64(1)
+    def placed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's distinct n-grams in order, and where among them each token and each pair stands."""
+        pairs = mix(self.before(self.token, _BEGIN) * np.uint64(3) + self.token) | np.uint64(1)
+        grams, place = np.unique(np.concatenate([self.token, pairs]), return_inverse=True)
+        place = place.astype(np.int32)
+        return grams, place[: len(self.token)], place[len(self.token) :]
 
 
-def _grams(blocks_: list[Block]) -> np.ndarray:
-    """All distinct n-grams of a group, ordered."""
-    own = [np.unique(np.concatenate([b.token, b.pairs()])) for b in blocks_]
-    return np.unique(np.concatenate([*own, np.array([_BEGIN])]))
+def _together(rows) -> tuple[np.ndarray, list[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]]:
+    """A group's distinct n-grams in order; each block with its places, and where its own n-grams stand in the group's."""
+    blocks_ = [(b, *b.placed()) for b in Block.all_of(rows)]
+    grams = distinct(np.concatenate([*(own for _, own, _, _ in blocks_), np.array([_BEGIN])]))
+    return grams, [(b, np.searchsorted(grams, own), token, pair) for b, own, token, pair in blocks_]
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -173,14 +178,13 @@ def _asks(shards: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                blocks_ = Block.all_of(row)
-                grams = _grams(blocks_)
-                counts = np.zeros(len(grams), np.uint64)
-                for block in blocks_:
+                grams, blocks_ = _together(row)
+                counts = np.zeros(len(grams), np.int64)
+                for block, own, token, pair in blocks_:
                     use = np.repeat(block.train, np.diff(block.begins))
-                    known, n = np.unique(np.concatenate([block.token[use], block.pairs()[use]]), return_counts=True)
-                    counts[np.searchsorted(grams, known)] += n.astype(np.uint64)
-                    counts[np.searchsorted(grams, _BEGIN)] += np.uint64(block.train.sum())
+                    counts[own] += np.bincount(token[use], minlength=len(own)) + np.bincount(pair[use], minlength=len(own))
+                    counts[np.searchsorted(grams, _BEGIN)] += block.train.sum()
+                counts = counts.astype(np.uint64)
                 shard = _shard(grams, shards)
                 cuts = np.flatnonzero(np.diff(shard)) + 1
                 edges = [0, *cuts.tolist(), len(grams)]
@@ -236,16 +240,16 @@ def bucket(count: np.ndarray) -> np.ndarray:
 
 def _joined(left: pd.DataFrame, right: pd.DataFrame, held: bool) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]:
     """A group's blocks with the counts of their tokens' pairs, contexts and words (``held``: without the held-out part)."""
-    blocks_ = Block.all_of(left.iloc[0])
+    grams, blocks_ = _together(left.iloc[0])
     right = right.sort_values("shard")
     counts = np.concatenate([_opened(c, np.uint64) for c in right["counts"]]).astype(np.int64)
     if held:
         counts -= np.concatenate([_opened(c, np.uint64) for c in right["held"]]).astype(np.int64)
-    grams = _grams(blocks_)
     begin = counts[np.searchsorted(grams, _BEGIN)]
-    for block in blocks_:
-        word = counts[np.searchsorted(grams, block.token)]
-        yield block, counts[np.searchsorted(grams, block.pairs())], block.before(word, begin), word
+    for block, own, token, pair in blocks_:
+        told = counts[own]
+        word = told[token]
+        yield block, told[pair], block.before(word, begin), word
 
 
 def _gathered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._scratch import written
-from ._text import LOWER, Spans, Texts, chunks, runs
+from ._text import LOWER, Spans, Texts, chunks, distinct, runs
 
 #: Labelled documents of each class that the fit uses at most.
 MAX_FIT = 6000
@@ -57,7 +57,7 @@ def features(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     cut[1:] = _END[data]
     cut[part.offsets] = True
     number = np.cumsum(cut[: len(data)])[start] if len(start) else start
-    _, sentence = np.unique(number, return_inverse=True)
+    sentence = np.cumsum(np.concatenate([[False], number[1:] != number[:-1]])) if len(number) else number  # numbers never fall
     hasher = Spans(data)
     mask = np.uint64(BUCKETS - 1)
     found, where = [hasher.hashes(start, end) & mask], [sentence]
@@ -72,7 +72,7 @@ def features(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def _once(found: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each feature of a sentence once, however often it is repeated there."""
-    pair = np.unique(sentence.astype(np.int64) * BUCKETS + found)
+    pair = distinct(sentence.astype(np.int64) * BUCKETS + found)
     return pair % BUCKETS, pair // BUCKETS
 
 
@@ -157,7 +157,7 @@ def learn(bags: Bags, chosen: np.ndarray, rounds: int = 120, decay: float = 2e-5
 def present(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct features, as (text, feature)."""
     found, sentence, text, _ = features(part)
-    pair = np.unique(text[sentence] * BUCKETS + found)
+    pair = distinct(text[sentence] * BUCKETS + found)
     return pair // BUCKETS, pair % BUCKETS
 
 

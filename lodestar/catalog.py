@@ -8,6 +8,7 @@ updates and deletes write the remaining and changed rows.  All data work is Data
 from __future__ import annotations
 
 import copy
+import re
 from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING, Any
 
@@ -671,11 +672,14 @@ class Catalog:
         self._put(after)
 
     def do_create_function(self, node, params):
+        types = [self.low().type_(a.type) for a in self._takes(node)]
+        others = [f for f in self.state.functions.get(node.name, []) if [self.low().type_(a.type) for a in self._takes(f)] != types]
+        node.known_as = node.name if not others else f"{node.name}__{'_'.join(re.sub('[^a-z0-9]', '', t) for t in types)}"
         if node.language == "sql":
             self._sql_function(node)
         elif node.language != "plpgsql":
             raise SqlError("42704", f'language "{node.language}" does not exist')
-        self.state.functions.setdefault(node.name, []).append(node)
+        self.state.functions[node.name] = [*others, node]
 
     def _sql_function(self, node) -> None:
         """A SQL function as Spark's own: its last query over the arguments."""
@@ -689,7 +693,7 @@ class Catalog:
         if node.setof:
             columns = node.table or [(node.name, node.returns)]
             returns = f"TABLE ({', '.join(f'{quoted(n)} {low.type_(t)}' for n, t in columns)})"
-            sql = f"CREATE OR REPLACE TEMPORARY FUNCTION {quoted(node.name)}({declared}) RETURNS {returns} RETURN {body}"
+            sql = f"CREATE OR REPLACE TEMPORARY FUNCTION {quoted(node.known_as)}({declared}) RETURNS {returns} RETURN {body}"
         else:
             value = f"({body})"
             if node.strict and names:
@@ -698,7 +702,7 @@ class Catalog:
             if core.kind == "core" and not core.source and len(core.items) == 1 and core.where is None:  # a plain expression
                 inner = low.expr(core.items[0].expr, Scope())
                 value = f"CASE WHEN {' OR '.join(f'{quoted(n)} IS NULL' for n in names)} THEN NULL ELSE {inner} END" if node.strict and names else inner
-            sql = f"CREATE OR REPLACE TEMPORARY FUNCTION {quoted(node.name)}({declared}) RETURNS {low.type_(node.returns)} RETURN {value}"
+            sql = f"CREATE OR REPLACE TEMPORARY FUNCTION {quoted(node.known_as)}({declared}) RETURNS {low.type_(node.returns)} RETURN {value}"
         self.engine.frame(sql)
 
     def do_drop(self, node, params):
@@ -722,8 +726,10 @@ class Catalog:
                     for t in referring:
                         self.state.tables[t.name] = replace(t, constraints=tuple(c for c in t.constraints if not (c.kind_ == "foreign" and c.parent == name)))
                     self.engine.spark.catalog.dropTempView(name)
-                if node.what in ("function", "procedure") and where[name][-1].language == "sql":
-                    self.engine.frame(f"DROP TEMPORARY FUNCTION IF EXISTS {quoted(name)}")
+                if node.what in ("function", "procedure"):
+                    for f in where[name]:
+                        if f.language == "sql":
+                            self.engine.frame(f"DROP TEMPORARY FUNCTION IF EXISTS {quoted(f.known_as)}")
                     self.state.triggers.pop(name, None)
                 del where[name]
         self.engine._kinds.clear()
@@ -821,7 +827,20 @@ class Catalog:
             raise SqlError("42P01", f'relation "{name}" does not exist')
         return self.sequences[name]
 
-    def call(self, name: str, args: list[str], named: dict[str, str], relation: bool) -> str | None:
+    def numbered(self, name: str, count: str, uses: int, use: int) -> tuple[int, int, int]:
+        """The first of a statement's numbers, the sequence's step, and how many numbers a row takes.
+
+        ``count`` is the query of the number of rows; a row takes a number for each of ``uses`` calls, this is call ``use``.
+        """
+        sequence = self._sequence(name)
+        if use == 0:
+            rows = self.engine.frame(count).first()[0]
+            self.block = sequence.reserve(rows * uses) if rows else 0
+            if rows:
+                self.current[name], self.last_sequence = sequence.last, name
+        return self.block + use * sequence.increment, sequence.increment, uses
+
+    def call(self, name: str, args: list[str], named: dict[str, str], relation: bool, kinds=None) -> str | None:
         """SQL of a function that lives here: sequences (a value per call in the statement) and user functions."""
         plain = [a.strip("'") for a in args]
         if name == "nextval":
@@ -850,14 +869,47 @@ class Catalog:
         if name == "pg_listening_channels":
             return f"array({', '.join(literal(c) for c in sorted(self.channels))})"
         if name in self.state.functions:
-            node = self.state.functions[name][-1]
+            node = self._overload(name, len(args), named, kinds)
             if node.language == "sql":
-                return f"{quoted(name)}({', '.join([*args, *(f'{k} => {v}' for k, v in named.items())])})"
+                return f"{quoted(node.known_as)}({', '.join([*args, *(f'{k} => {v}' for k, v in named.items())])})"
             from .procedural.interpreter import call_with
 
             return call_with(self.engine, node, args, named)
         return None
 
+    def _takes(self, node: Node) -> list[Node]:
+        return [a for a in node.args if a.mode in ("in", "inout", "variadic")]
+
+    def _overload(self, name: str, n: int, named: dict[str, str], kinds) -> Node:
+        """The function of this name whose arguments fit best: equal types first, then wider numbers, then any text."""
+        known = self.state.functions[name]
+        if len(known) == 1:
+            return known[0]
+        wider = ["smallint", "int", "bigint", "decimal", "float", "double"]
+        have = kinds() if kinds else ["unknown"] * n
+
+        def fits(node: Node) -> int:
+            takes = self._takes(node)
+            if not n + len(named) <= len(takes) or any(a.default is None for a in takes[n:] if a.name not in named):
+                return -1
+            total = 0
+            for a, kind in zip(takes, have, strict=False):
+                want, kind = self.low().type_(a.type).split("(")[0], kind.split("(")[0]
+                if kind == want:
+                    total += 8
+                elif kind in wider and want in wider and wider.index(kind) < wider.index(want):
+                    total += 7 - (wider.index(want) - wider.index(kind))
+                elif kind in ("unknown", "void", ""):
+                    total += 2 if want == "string" else 1
+                else:
+                    return -1
+            return total
+
+        best = max(known, key=fits)
+        if fits(best) < 0:
+            raise SqlError("42883", f"function {name}({', '.join(have)}) does not exist")
+        return best
+
     # session
 
     def do_set(self, node, params):

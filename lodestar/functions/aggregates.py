@@ -40,5 +40,6 @@ def json_object_agg(key: str, value: str, filter_: str, over: str = "") -> str:
 
 
 def string_agg(value: str, separator: str, keys_sql: list[str], distinct: bool, filter_: str) -> str:
+    keys_sql = keys_sql or ([value] if distinct else [])  # distinct values come sorted
     order = f" WITHIN GROUP (ORDER BY {', '.join(keys_sql)})" if keys_sql else ""
     return f"listagg({'DISTINCT ' if distinct else ''}{value}, {separator}){order}{filter_}"

@@ -16,14 +16,18 @@ FUNCTIONS = {
     "current_time": lambda: "current_time()",
     "localtime": lambda: "current_time()",
     "localtimestamp": lambda: "localtimestamp()",
+    "age": lambda a, b=None: age("current_date()", a) if b is None else age(a, b),
+    "make_date": lambda y, m, d: f"make_date({y}, {m}, {d})",
+    "date_trunc": lambda unit, x: f"date_trunc({unit}, {x})",
+    "make_interval": lambda years="0", months="0", weeks="0", days="0", hours="0", mins="0", secs="0": f"make_interval({years}, {months}, {weeks}, {days}, {hours}, {mins}, {secs})",
 }
 
 
 def extract(part: str, x: str, kind: str) -> str:
     """EXTRACT as a double; ``kind`` is the argument's Spark type."""
     part = part.lower().strip("'")
-    if kind.startswith("interval") and part == "epoch":
-        return f"CAST(extract(YEAR FROM {x}) * 31557600 + extract(MONTH FROM {x}) * 2592000 + extract(DAY FROM {x}) * 86400 + extract(HOUR FROM {x}) * 3600 + extract(MINUTE FROM {x}) * 60 + extract(SECOND FROM {x}) AS double)"
+    if kind.startswith("interval"):
+        return _of_interval(part, x, kind)
     if part == "epoch":
         stamp = f"to_utc_timestamp(CAST({x} AS timestamp), 'UTC')" if kind == "date" else f"CAST({x} AS timestamp)"
         return f"(unix_micros({stamp}) / 1000000D)"
@@ -44,6 +48,58 @@ def extract(part: str, x: str, kind: str) -> str:
     return f"CAST({forms.get(part) or f'extract({part.upper()} FROM {x})'} AS double)"
 
 
+def calendar(x: str, kind: str) -> str:
+    """An interval of any kind as one of months, days and microseconds."""
+    if kind == "interval":
+        return x
+    x = _whole(x, kind)
+    if _by_months(kind):
+        return f"make_interval(0, CAST(extract(YEAR FROM {x}) * 12 + extract(MONTH FROM {x}) AS int))"
+    return f"make_interval(0, 0, 0, CAST(extract(DAY FROM {x}) AS int), CAST(extract(HOUR FROM {x}) AS int), CAST(extract(MINUTE FROM {x}) AS int), extract(SECOND FROM {x}))"
+
+
+def mixed(a: str, b: str) -> bool:
+    """Whether intervals of these kinds have no common kind but that of calendars."""
+    return a != b and (_by_months(a) != _by_months(b) or "interval" in (a, b))
+
+
+def _by_months(kind: str) -> bool:
+    return kind.startswith(("interval year", "interval month"))
+
+
+def _whole(x: str, kind: str) -> str:
+    """An interval with all fields of its kind, as only they can be extracted."""
+    return x if kind == "interval" else f"CAST({x} AS INTERVAL {'YEAR TO MONTH' if _by_months(kind) else 'DAY TO SECOND'})"
+
+
+def _of_interval(part: str, x: str, kind: str) -> str:
+    months, days = ("year", "month", "quarter", "decade", "century", "millennium"), ("day", "hour", "minute", "second", "milliseconds", "microseconds")
+    if part not in (*months, *days, "epoch"):
+        raise SqlError("22023", f"unit {part!r} is not supported for an interval")
+    x = _whole(x, kind)
+    has_months, has_days = _by_months(kind) or kind == "interval", not _by_months(kind)
+    field = lambda f: f"CAST(extract({f} FROM {x}) AS double)"
+    if part == "epoch":
+        sums = [f"{field('YEAR')} * 31557600 + {field('MONTH')} * 2592000"] * has_months
+        sums += [f"{field('DAY')} * 86400 + {field('HOUR')} * 3600 + {field('MINUTE')} * 60 + {field('SECOND')}"] * has_days
+        return f"({' + '.join(sums)})"
+    if not (has_months if part in months else has_days):
+        return f"CASE WHEN {x} IS NOT NULL THEN 0D END"
+    forms = {
+        "quarter": f"(floor({field('MONTH')} / 3) + 1)", "decade": f"floor({field('YEAR')} / 10)", "century": f"floor({field('YEAR')} / 100)", "millennium": f"floor({field('YEAR')} / 1000)",
+        "milliseconds": f"({field('SECOND')} * 1000)", "microseconds": f"({field('SECOND')} * 1000000)",
+    }
+    return f"CAST({forms.get(part) or field(part.upper())} AS double)"
+
+
+def age(later: str, earlier: str) -> str:
+    """Years, months, days and time from one moment to a later one, as one counts them on a calendar."""
+    a, b = f"CAST({later} AS timestamp_ntz)", f"CAST({earlier} AS timestamp_ntz)"
+    months = f"CAST(months_between({a}, {b}) AS int)"
+    rest = f"({a} - ({b} + make_ym_interval(0, {months})))"
+    return f"(make_interval(0, {months}) + {calendar(rest, 'interval day to second')})"
+
+
 _PART = re.compile(r"([+-]?\d+(?:\.\d+)?)\s*([a-z]+)|([+-]?)(\d+):(\d+)(?::(\d+(?:\.\d+)?))?", re.I)
 _UNIT = {
     **dict.fromkeys(("y", "yr", "yrs", "year", "years"), ("months", 12)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -17,11 +18,18 @@ MISSING = _Missing()
 
 
 def _load(text: str | None) -> Any:
-    return MISSING if text is None else json.loads(text)
+    return MISSING if text is None else json.loads(text, parse_float=Decimal)
 
 
 def _dump(value: Any) -> str | None:
-    return None if value is MISSING else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    """JSON text; a number keeps its scale."""
+    if value is MISSING:
+        return None
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_dump, value)) + "]"
+    return format(value, "f") if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False)
 
 
 def _text(value: Any) -> str | None:
@@ -123,6 +131,14 @@ def strip_nulls(value: Any) -> Any:
     return [strip_nulls(v) for v in value] if isinstance(value, list) else value
 
 
+def _pretty(value: Any, margin: str = "") -> str:
+    if isinstance(value, (dict, list)) and value:
+        parts = [f"{json.dumps(k, ensure_ascii=False)}: {_pretty(v, margin + '    ')}" for k, v in value.items()] if isinstance(value, dict) else [_pretty(v, margin + "    ") for v in value]
+        first, last = "{}" if isinstance(value, dict) else "[]"
+        return f"{first}\n" + ",\n".join(f"{margin}    {p}" for p in parts) + f"\n{margin}{last}"
+    return _dump(value)
+
+
 def kind(value: Any) -> str:
     return {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(value), "number")
 
@@ -147,7 +163,7 @@ UDFS = {
     "lodestar_json_delete_path": ("string", _each(lambda j, p: _dump(delete_path(_load(j), list(p))))),
     "lodestar_json_set": ("string", _each(lambda j, p, v, c: _dump(put(_load(j), list(p), _load(v), bool(c))))),
     "lodestar_json_strip": ("string", _each(lambda j: _dump(strip_nulls(_load(j))))),
-    "lodestar_json_pretty": ("string", _each(lambda j: json.dumps(_load(j), ensure_ascii=False, indent=4))),
+    "lodestar_json_pretty": ("string", _each(lambda j: _pretty(_load(j)))),
     "lodestar_json_kind": ("string", _each(lambda j: kind(_load(j)))),
     "lodestar_json_has": ("boolean", _each(lambda j, k: k in v if isinstance(v := _load(j), dict) else isinstance(v, list) and k in [x for x in v if isinstance(x, str)] or v == k)),
 }

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..errors import SqlError
+
 
 def substring(s: str, start: str, size: str | None = None) -> str:
     """1-based; a start before the string shortens the result instead of being moved."""
@@ -43,22 +45,47 @@ def trimmed(kind: str):
 
 
 def format_(pattern: str, args: list[str]) -> str:
-    """format() with a literal pattern: %s, %I, %L and %%, with optional positions (%2$s)."""
+    """format() with a literal pattern: %s, %I, %L and %%, with positions (%2$s), widths (%10s, %*s) and %-10s."""
     parts, used = [], 0
-    for m in re.finditer(r"%%|%(?:(\d+)\$)?([sIL])|[^%]+", pattern):
+
+    def argument(position: str | None) -> str:
+        nonlocal used
+        used = int(position) if position else used + 1
+        if not 1 <= used <= len(args):
+            raise SqlError("22023", "too few arguments for format()")
+        return args[used - 1]
+
+    for m in re.finditer(r"%%|%(?:(\d+)\$)?(-)?(\d+|\*(?:(\d+)\$)?)?([sIL])|[^%]+|%(.?)", pattern, re.S):
         if m[0] == "%%":
             parts.append("'%'")
-        elif m[2]:
-            used = int(m[1]) if m[1] else used + 1
-            arg = args[used - 1]
-            parts.append({"s": f"coalesce(CAST({arg} AS string), '')", "I": quote_ident(f"CAST({arg} AS string)"), "L": f"coalesce({quote_literal(f'CAST({arg} AS string)')}, 'NULL')"}[m[2]])
+        elif m[5]:
+            width = f"CAST({argument(m[4])} AS int)" if m[3] and m[3][0] == "*" else m[3]
+            value = f"CAST({argument(m[1])} AS string)"
+            shown = {"s": f"coalesce({value}, '')", "I": quote_ident(value), "L": f"coalesce({quote_literal(value)}, 'NULL')"}[m[5]]
+            if width:
+                left = "true" if m[2] else f"{width} < 0"
+                size = f"greatest(abs({width}), char_length({shown}))"
+                shown = f"IF({left}, rpad({shown}, {size}, ' '), lpad({shown}, {size}, ' '))"
+            parts.append(shown)
+        elif m[0][0] == "%":
+            raise SqlError("22023", f'unrecognized format() type specifier "{m[6]}"' if m[6] else "unterminated format() type specifier")
         else:
             parts.append("'" + m[0].replace("\\", "\\\\").replace("'", "\\'") + "'")
     return f"concat({', '.join(parts)})" if parts else "''"
 
 
+# The keywords that cannot stand as a name without quotes.
+RESERVED = (
+    "all analyse analyze and any array as asc asymmetric authorization between bigint binary bit boolean both case cast char character check coalesce collate collation column concurrently constraint create cross"
+    " current_catalog current_date current_role current_schema current_time current_timestamp current_user dec decimal default deferrable desc distinct do else end except exists extract false fetch float for foreign"
+    " freeze from full grant greatest group grouping having ilike in initially inner inout int integer intersect interval into is isnull join lateral leading least left like limit localtime localtimestamp national"
+    " natural nchar none normalize not notnull null nullif numeric offset on only or order out outer overlaps overlay placing position precision primary real references returning right row select session_user setof"
+    " similar smallint some substring symmetric system_user table tablesample then time timestamp to trailing treat trim true union unique user using values varchar variadic verbose when where window with"
+).split()
+
+
 def quote_ident(s: str) -> str:
-    plain = rf"{s} RLIKE '^[a-z_][a-z0-9_]*$'"
+    plain = rf"{s} RLIKE '^[a-z_][a-z0-9_]*$' AND NOT array_contains(array({', '.join(repr(w) for w in RESERVED)}), {s})"
     return f"CASE WHEN {plain} THEN {s} ELSE concat('\"', replace({s}, '\"', '\"\"'), '\"') END"
 
 
@@ -66,6 +93,25 @@ def quote_literal(s: str) -> str:
     return rf"concat('\'', replace({s}, '\'', '\'\''), '\'')"
 
 
+def regexp_replace(s: str, pattern: str, to: str, flags: str = "''") -> str:
+    """The first match, or with the flag g all of them; \1 stands for a group, the flag i ignores case."""
+    how = flags.strip("'")
+    if set(how) - set("gi"):
+        raise SqlError("22023", f'invalid regular expression option: "{how}"')
+    pattern = f"concat('(?i)', {pattern})" if "i" in how else pattern
+    to = rf"regexp_replace(replace({to}, '$', '\\$'), '\\\\([0-9])', '\\$$1')"
+    if "g" in how:
+        return f"regexp_replace({s}, {pattern}, {to})"
+    found, at = f"regexp_substr({s}, {pattern})", f"regexp_instr({s}, {pattern})"
+    return f"CASE WHEN {at} = 0 THEN {s} ELSE concat(left({s}, {at} - 1), regexp_replace({found}, {pattern}, {to}), substring({s}, {at} + char_length({found}))) END"
+
+
+def regexp_substring(s: str, pattern: str) -> str:
+    """The first match, or what its first group holds; null without a match."""
+    grouped = f"regexp_count({pattern}, '(?<!\\\\\\\\)\\\\((?!\\\\?)') > 0"
+    return f"CASE WHEN {s} RLIKE {pattern} THEN IF({grouped}, regexp_extract({s}, concat('(?:', {pattern}, ')|()'), 1), regexp_substr({s}, {pattern})) END"
+
+
 FUNCTIONS = {
     "length": lambda s: f"char_length({s})",
     "char_length": lambda s: f"char_length({s})",
@@ -98,6 +144,9 @@ FUNCTIONS = {
     "initcap": initcap,
     "md5": lambda s: f"md5({s})",
     "overlay": lambda s, w, p, n=None: f"overlay({s}, {w}, {p}{', ' + n if n else ''})",
+    "regexp_replace": regexp_replace,
+    "regexp_substring": regexp_substring,
+    "translate": lambda s, a, b: f"translate({s}, {a}, {b})",
     "quote_ident": quote_ident,
     "quote_literal": quote_literal,
     "pg_encoding_to_char": lambda n: f"CASE WHEN {n} = 6 THEN 'UTF8' ELSE '' END",

@@ -69,7 +69,7 @@ class Engine:
             self._json = True
 
     def lowering(self, params: list | None = None) -> Lowering:
-        return Lowering(self._kind_of, params, self.catalog.enums, self.catalog.domain_types(), self._fixpoint, self.catalog.call, self.catalog.relation)
+        return Lowering(self._kind_of, params, self.catalog.enums, self.catalog.domain_types(), self._fixpoint, self.catalog.call, self.catalog.relation, self.catalog.numbered)
 
     def _fixpoint(self, low: Lowering, cte: Node, first: str, step: Node, outer: Scope | None) -> str:
         with_ = f"WITH {', '.join(low.ctes)} " if low.ctes else ""

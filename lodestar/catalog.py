@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .dialect.lower import Lowering, Scope, literal, quoted
 from .dialect.parser import Node, Parser
+from .dialect.views import columns_below, through
 from .errors import SqlError
 from .procedural import triggers
 from .sources import copying, information
@@ -216,22 +217,43 @@ class Catalog:
         df.select(*(F.col(quoted(c.name)).cast(c.spark).alias(c.name) for c in table.columns)).write.parquet(path)
         return path
 
+    def _replaced(self, table: Table, gone: DataFrame, rows: DataFrame | None) -> Table:
+        """The table without the rows ``gone`` (__rid) and with ``rows``: only files that hold such rows are written anew."""
+        file = F.expr("substring(__rid, 1, char_length(__rid) - char_length(substring_index(__rid, ':', -1)) - 1)")
+        plain = lambda path: re.sub(":/+", ":/", path, count=1)  # noqa: E731  one spelling of a file system's root
+        touched = {plain(r[0]) for r in gone.select(file.alias("file")).distinct().collect()}  # names of files of the table
+        kept, changed = [], []
+        for path in table.files:
+            parts = self.engine.spark.read.schema(table.schema()).parquet(path).inputFiles()
+            hit = [f for f in parts if plain(f) in touched]
+            kept += [f for f in parts if plain(f) not in touched] if hit else [path]
+            changed += hit
+        if len(changed) < len(touched):  # names that are spelt in another way: then all is written
+            kept, changed = [], list(table.files)
+        left = self.frame(replace(table, files=tuple(changed)), rid=True).join(gone.select("__rid"), "__rid", "left_anti").drop("__rid")
+        return replace(table, files=(*kept, self._write(left if rows is None else left.unionByName(rows), table)))
+
     def _checked(self, table: Table, delta: DataFrame) -> None:
-        """NOT NULL, CHECK, enum and domain rules of new rows, and their foreign keys."""
+        """NOT NULL, CHECK, enum and domain rules of new rows, all in one pass, and their foreign keys."""
+        rules: list[tuple[str, SqlError]] = []
         for c in table.columns:
-            domain = self.state.domains.get(c.type.name)
-            if (c.not_null or (domain and domain.column.not_null)) and not delta.filter(F.col(quoted(c.name)).isNull()).isEmpty():
-                raise SqlError("23502", f'null value in column "{c.name}" of relation "{table.name}" violates not-null constraint')
-            if c.type.name in self.enums and not c.type.dims and not delta.filter(F.col(quoted(c.name)).isNotNull() & ~F.col(quoted(c.name)).isin(self.enums[c.type.name])).isEmpty():
-                raise SqlError("22P02", f"invalid input value for enum {c.type.name}")
+            domain, name = self.state.domains.get(c.type.name), quoted(c.name)
+            if c.not_null or (domain and domain.column.not_null):
+                rules.append((f"{name} IS NULL", SqlError("23502", f'null value in column "{c.name}" of relation "{table.name}" violates not-null constraint')))
+            if c.type.name in self.enums and not c.type.dims:
+                labels = ", ".join(map(literal, self.enums[c.type.name]))
+                rules.append((f"{name} NOT IN ({labels})", SqlError("22P02", f"invalid input value for enum {c.type.name}")))
         tests = [(c.name or f"{table.name}_check", self._test(table, c.test)) for c in table.constraints if c.kind_ == "check"]
         for c in table.columns:
             domain = self.state.domains.get(c.type.name)
             for x in domain.column.constraints if domain else []:
                 tests.append((x.name or f"{c.type.name}_check", self._test(table, x.test).replace(quoted("value"), quoted(c.name))))
-        for name, test in tests:
-            if not delta.filter(f"NOT coalesce({test}, true)").isEmpty():
-                raise SqlError("23514", f'new row for relation "{table.name}" violates check constraint "{name}"')
+        rules += [(f"NOT ({test})", SqlError("23514", f'new row for relation "{table.name}" violates check constraint "{name}"')) for name, test in tests]
+        if rules:
+            found = delta.selectExpr(*(f"coalesce({test}, false) AS r{i}" for i, (test, _) in enumerate(rules))).selectExpr(*(f"bool_or(r{i}) AS r{i}" for i in range(len(rules)))).first()
+            for broken, (_, error) in zip(found, rules, strict=True):
+                if broken:
+                    raise error
         for c in table.constraints:
             if c.kind_ == "foreign":
                 parent = self.table(c.parent) if c.parent != table.name else table
@@ -248,19 +270,50 @@ class Catalog:
         source = ", ".join(f"CAST(NULL AS {c.spark}) AS {quoted(c.name)}" for c in table.columns)
         return self.low().expr(test, Scope(f"(SELECT {source}) AS {quoted(table.name)}"))
 
-    def _unique(self, table: Table) -> None:
-        rows = self.frame(table)
-        for key in table.keys():
-            columns = [quoted(k) for k in key.columns]
-            if not rows.select(*columns).dropna().groupBy(*columns).count().filter("count > 1").isEmpty():
-                raise SqlError("23505", f'duplicate key value violates unique constraint "{key.name or table.name + ("_pkey" if key.kind_ == "primary" else "_key")}"')
-        for name, unique, columns in table.indexes:
-            if unique and not rows.selectExpr(*(f"{c} AS __k{i}" for i, c in enumerate(columns))).dropna().groupBy(*(f"__k{i}" for i in range(len(columns)))).count().filter("count > 1").isEmpty():
+    def _unique(self, table: Table, delta: DataFrame | None = None, others: DataFrame | None = None) -> None:
+        """Unique keys hold: among all rows, or of ``delta`` against itself and ``others``, whose keys hold already."""
+        rows = self.frame(table) if delta is None else delta
+        keys = [([quoted(k) for k in key.columns], key.name or f"{table.name}_pkey" if key.kind_ == "primary" else key.name or f"{table.name}_key") for key in table.keys()]
+        keys += [(list(columns), name) for name, unique, columns in table.indexes if unique]
+        for columns, name in keys:
+            named = [f"{c} AS __k{i}" for i, c in enumerate(columns)]
+            ours = rows.selectExpr(*named).dropna()
+            own = [f"__k{i}" for i in range(len(columns))]
+            twice = ours.groupBy(*own).count().filter("count > 1").select(F.lit(1))
+            if others is not None:
+                twice = twice.unionAll(others.selectExpr(*named).join(ours, own, "left_semi").select(F.lit(1)))
+            if not twice.isEmpty():
                 raise SqlError("23505", f'duplicate key value violates unique constraint "{name}"')
 
+    def _keyed(self, table: Table) -> set[str]:
+        """Columns of unique keys; all columns if an index has expressions."""
+        out = {k for key in table.keys() for k in key.columns}
+        for _, unique, columns in table.indexes:
+            if unique:
+                out |= {c.name for c in table.columns if any(quoted(c.name) in x for x in columns)}
+        return out
+
+    # changes through views
+
+    def _columns(self, name: str) -> list[str]:
+        if name in self.state.views:
+            return list(columns_below(self.state.views[name], self._columns)[1])
+        return [c.name for c in self.table(name).columns]
+
+    def _through(self, node, params):
+        """A change of a view: its INSTEAD OF triggers, or the same change of the table below."""
+        view = self.state.views[node.table]
+        if self.state.triggers.get(node.table):
+            raise SqlError("0A000", "INSTEAD OF triggers are not supported")
+        if view.checked and node.kind != "delete":
+            raise SqlError("0A000", f'changes through view "{view.name}" WITH CHECK OPTION are not supported')
+        return self.execute(through(node, view, self._columns), params)
+
     # INSERT
 
     def do_insert(self, node, params):
+        if node.table in self.state.views:
+            return self._through(node, params)
         table = self.table(node.table)
         targets = node.columns or [c.name for c in table.columns][: self._width(node.source)]
         triggers.statement(self, table, "before", "insert")
@@ -272,9 +325,8 @@ class Catalog:
         self._checked(table, delta)
         if node.conflict:
             return self._upsert(table, node, delta, params)
-        after = replace(table, files=(*table.files, self._write(delta, table)))
-        self._unique(after)
-        self._put(after)
+        self._unique(table, delta, self.frame(table) if table.files else None)
+        self._put(replace(table, files=(*table.files, self._write(delta, table))))
         self._fired(table, "insert", delta.select(F.struct("*").alias("new"), _nothing(table)))
         return self._returning(table, node.alias or table.name, node.returning, delta, params)
 
@@ -381,6 +433,7 @@ class Catalog:
             whole = fresh.filter(" AND ".join(f"{n} IS NOT NULL" for n in names))
             fresh = (whole.dropDuplicates(keys) if repeated else whole).unionByName(fresh.filter(" OR ".join(f"{n} IS NULL" for n in names)))
             fresh = stored(fresh, "fresh")
+            self._unique(table, fresh, self.frame(table))
             after = replace(table, files=(*table.files, self._write(fresh, table)))
             changed = fresh
         else:
@@ -393,11 +446,10 @@ class Catalog:
             scope = Scope(f"`__upsert_old` AS {quoted(alias)} JOIN `__upsert_new` AS excluded ON {on}")
             updated = self._changed(table, alias, conflict.assign, scope, conflict.where, params)
             fresh = stored(fresh, "fresh")
-            kept = there.join(updated.select("__rid"), "__rid", "left_anti").drop("__rid")
             changed = updated.drop("__rid").unionByName(fresh)
             self._checked(table, updated.drop("__rid"))
-            after = replace(table, files=(self._write(kept.unionByName(changed), table),))
-        self._unique(after)
+            self._unique(table, changed, there.join(updated.select("__rid"), "__rid", "left_anti"))
+            after = self._replaced(table, updated.select("__rid"), changed)
         self._put(after)
         return self._returning(table, node.alias or table.name, node.returning, changed, params)
 
@@ -468,6 +520,8 @@ class Catalog:
         return Scope(self.low(params).from_(nodes, None))
 
     def do_update(self, node, params):
+        if node.table in self.state.views:
+            return self._through(node, params)
         table = self.table(node.table)
         alias = node.alias or table.name
         assigned = {name for names, _ in node.assign for name in names}
@@ -486,8 +540,9 @@ class Catalog:
         if not changed.isEmpty():
             self._checked(table, rows)
             old = self.frame(table, rid=True)
-            after = replace(table, files=(self._write(old.join(changed.select("__rid"), "__rid", "left_anti").drop("__rid").unionByName(rows), table),))
-            self._unique(after)
+            if assigned & self._keyed(table) or self.state.triggers.get(table.name) or any(c.generated is not None for c in table.columns):
+                self._unique(table, rows, old.join(changed.select("__rid"), "__rid", "left_anti"))
+            after = self._replaced(table, changed.select("__rid"), rows)
             before = old.join(changed.withColumnsRenamed({c.name: f"__new_{c.name}" for c in table.columns}), "__rid")
             self._put(after)
             self._referenced(after, before, assigned)
@@ -500,6 +555,8 @@ class Catalog:
         return rid.selectExpr("__rid", *(f"{made.get(c.name, quoted(c.name))} AS {quoted(c.name)}" for c in table.columns)) if made else rid
 
     def do_delete(self, node, params):
+        if node.table in self.state.views:
+            return self._through(node, params)
         table = self.table(node.table)
         alias = node.alias or table.name
         scope = self._target(table, alias, node.source, node.ctes, params)
@@ -523,7 +580,7 @@ class Catalog:
         removed = stored(old.join(gone, "__rid"), "removed")
         if removed.isEmpty():
             return
-        after = replace(table, files=(self._write(old.join(gone, "__rid", "left_anti").drop("__rid"), table),))
+        after = self._replaced(table, gone, None)
         self._put(after)
         self._referenced(after, removed, None)
 
@@ -555,8 +612,7 @@ class Catalog:
                 values = {k: F.col(f"__n{i}") if action == "cascade" else F.lit(None) if action == "set null" else F.expr(self.low().expr(self._default(target, target.column(k)), Scope())) for i, k in enumerate(c.columns)}
                 fresh = stored(hit.select("__rid", *[values.get(x.name, F.col(quoted(x.name))).cast(x.spark).alias(x.name) for x in target.columns]), "changed")
                 self._checked(target, fresh.drop("__rid"))
-                kept = rows.join(fresh.select("__rid"), "__rid", "left_anti").drop("__rid")
-                self._put(replace(target, files=(self._write(kept.unionByName(fresh.drop("__rid")), target),)))
+                self._put(self._replaced(target, fresh.select("__rid"), fresh.drop("__rid")))
 
     def _returning(self, table: Table, alias: str, items: list | None, rows: DataFrame, params: list) -> DataFrame | None:
         if items is None:
@@ -863,6 +919,12 @@ class Catalog:
             if called:
                 self.current[plain[0]] = value
             return f"CAST({value} AS bigint)"
+        if name in ("pg_get_constraintdef", "pg_get_indexdef", "pg_get_viewdef"):
+            told = information.definitions(self, name)
+            if name == "pg_get_viewdef" and plain[0] in self.state.views:
+                return literal(told[information.oids(self)["relation", plain[0]]])
+            arms = " ".join(f"WHEN {oid} THEN {literal(said)}" for oid, said in told.items())
+            return f"CASE CAST({args[0]} AS bigint) {arms} END" if arms else "CAST(NULL AS string)"
         if name == "pg_notify":
             self.engine.bus.send(plain[0], plain[1])
             return "NULL"
@@ -996,10 +1058,8 @@ def _places(df: DataFrame):
     """The place of each row of a stored frame, from 0, without bringing rows together."""
     counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # one number a partition
     before, total = [], 0
-    for part in sorted(counts):
-        before.append((part, total))
-        total += counts[part]
-    place = F.lit(0).cast("long")
-    for part, n in before:
-        place = F.when(F.spark_partition_id() == part, F.lit(n).cast("long")).otherwise(place)
-    return place + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    first = F.get(F.array(*map(F.lit, before or [0])), F.spark_partition_id()).cast("long")
+    return first + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

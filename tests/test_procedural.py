@@ -81,3 +81,39 @@ def test_trigger_conditions_exceptions_and_statements(engine):
     assert engine.collect("SELECT n FROM runs") == [(2,)]
     engine.sql("DROP TRIGGER b ON t; INSERT INTO t VALUES (5, 5)")
     assert engine.collect("SELECT count(*) AS n FROM runs") == [(1,)]
+
+
+def test_functions_over_columns_are_expressions(engine):
+    engine.sql("CREATE TABLE tt (x int); INSERT INTO tt VALUES (1), (5), (12), (NULL)")
+    engine.sql("CREATE FUNCTION g(n int) RETURNS text LANGUAGE plpgsql AS $$ DECLARE r text := 'none'; k int; BEGIN IF n IS NULL THEN RETURN 'null'; END IF; k := n * 2; IF k > 20 THEN r := 'big'; ELSIF k > 5 THEN r := 'mid ' || k; END IF; RETURN r; END $$")
+    assert sorted(engine.collect("SELECT x, g(x) FROM tt"), key=str) == [(1, "none"), (12, "big"), (5, "mid 10"), (None, "null")]
+    assert engine.collect("SELECT x FROM tt WHERE g(x) = 'big'") == [(12,)] and engine.collect("SELECT g(7)") == [("mid 14",)]
+    engine.sql("CREATE FUNCTION fact(n int) RETURNS bigint LANGUAGE plpgsql STRICT AS $$ DECLARE f bigint := 1; BEGIN FOR i IN 1..n LOOP f := f * i; IF i % 2 = 0 THEN f := f + 1; END IF; END LOOP; RETURN f; END $$")
+    assert sorted(engine.collect("SELECT x, fact(x) FROM tt WHERE x IS NULL OR x < 6"), key=str) == [(1, 1), (5, 185), (None, None)]
+    assert engine.collect("SELECT fact(5)") == [(185,)]
+    text = engine.sql("SELECT fact(x) FROM tt")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text
+    engine.sql("CREATE FUNCTION chk(n int) RETURNS int LANGUAGE plpgsql AS $$ BEGIN CASE n WHEN 1 THEN RETURN 10; WHEN 5 THEN RETURN 50; ELSE RAISE EXCEPTION 'bad %', n; END CASE; END $$")
+    assert sorted(engine.collect("SELECT chk(x) FROM tt WHERE x < 6")) == [(10,), (50,)]
+    with pytest.raises(Exception, match="bad 12"):
+        engine.collect("SELECT chk(x) FROM tt WHERE x = 12")
+    engine.sql("CREATE FUNCTION w(n int) RETURNS int LANGUAGE plpgsql AS $$ BEGIN WHILE n > 1 LOOP n := n / 2; END LOOP; RETURN n; END $$")
+    with pytest.raises(SqlError) as caught:
+        engine.collect("SELECT w(x) FROM tt")
+    assert caught.value.state == "0A000" and engine.collect("SELECT w(9)") == [(1,)]
+
+
+def test_overloads_and_numbers_for_each_row(engine):
+    for args, body in (("a int", "'int ' || a"), ("a text", "a || '!'"), ("a int, b int", "'two'")):
+        engine.sql(f"CREATE FUNCTION f({args}) RETURNS text LANGUAGE sql AS $$ SELECT {body} $$")
+    assert engine.collect("SELECT f(1), f('x'), f('y'::text), f(1, 2), f(n.v) FROM (VALUES (7)) n(v)") == [("int 1", "x!", "y!", "two", "int 7")]
+    with pytest.raises(SqlError) as caught:
+        engine.collect("SELECT f(true)")
+    assert caught.value.state == "42883"
+    engine.sql("CREATE OR REPLACE FUNCTION f(a text) RETURNS text LANGUAGE sql AS $$ SELECT a || '?' $$")
+    assert engine.collect("SELECT f('x'), f(2)") == [("x?", "int 2")]
+    engine.sql("CREATE SEQUENCE s")
+    assert engine.collect("SELECT nextval('s') FROM generate_series(1,3)") == [(1,), (2,), (3,)]
+    assert engine.collect("SELECT v, nextval('s') AS a, nextval('s') AS b FROM (VALUES (3),(1),(2)) t(v) ORDER BY v") == [(1, 4, 5), (2, 6, 7), (3, 8, 9)]
+    assert engine.collect("SELECT nextval('s'), currval('s')") == [(10, 10)]
+    assert engine.collect("SELECT nextval('s') FROM generate_series(1,0)") == [] and engine.collect("SELECT nextval('s')") == [(11,)]

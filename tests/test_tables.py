@@ -95,3 +95,46 @@ def test_notifications(engine, spark):
     engine.sql("LISTEN news")
     other.sql("NOTIFY news, 'hello'")
     assert engine.notifications() == [("news", "hello")] and engine.notifications() == []
+
+
+def files(engine, name):
+    table = engine.catalog.table(name)
+    return {f for path in table.files for f in engine.spark.read.parquet(path).inputFiles()}
+
+
+def test_a_change_writes_only_files_that_hold_changed_rows(engine):
+    engine.catalog.load("t", engine.spark.range(2000).selectExpr("CAST(id AS int) AS k", "CAST(id AS int) AS v").repartitionByRange(200, "k"), ["k"])
+    before = files(engine, "t")
+    assert len(before) >= 100
+    engine.sql("UPDATE t SET v = -1 WHERE k = 77")
+    after = files(engine, "t")
+    assert len(before - after) == 1 and 1 <= len(after - before) <= 4
+    engine.sql("DELETE FROM t WHERE k = 1500")
+    assert len(after - files(engine, "t")) == 1
+    assert rows(engine, "SELECT count(*), sum(CASE WHEN v = -1 THEN 1 END), max(k) FROM t") == [(1999, 1, 1999)]
+    assert state(engine, "UPDATE t SET k = 5 WHERE k = 6") == "23505" and state(engine, "INSERT INTO t VALUES (7, 0)") == "23505"
+    engine.sql("UPDATE t SET k = k + 10000 WHERE k < 100")
+    assert rows(engine, "SELECT count(*), min(k), max(k) FROM t") == [(1999, 100, 10099)]
+
+
+def test_changes_through_views(engine):
+    engine.sql("CREATE TABLE p (k int PRIMARY KEY, v text DEFAULT 'x', n int); INSERT INTO p VALUES (1,'a',1),(2,'b',2),(3,'c',30)")
+    engine.sql("CREATE VIEW vv AS SELECT k AS key, v AS val FROM p WHERE n < 10; CREATE VIEW g AS SELECT count(*) AS c FROM p; CREATE VIEW d AS SELECT DISTINCT v FROM p; CREATE VIEW u AS SELECT key AS kk FROM vv")
+    assert rows(engine, "INSERT INTO vv VALUES (7,'q') RETURNING key, val") == [(7, "q")]
+    assert rows(engine, "INSERT INTO vv (key) VALUES (8) RETURNING *") == [(8, "x")]
+    assert rows(engine, "UPDATE vv SET val = val || '!' WHERE key >= 2 RETURNING key, val") == [(2, "b!")]
+    assert rows(engine, "DELETE FROM u WHERE kk = 1 RETURNING *") == [(1,)]
+    assert rows(engine, "SELECT * FROM p") == [(2, "b!", 2), (3, "c", 30), (7, "q", None), (8, "x", None)]
+    for sql, code in (("DELETE FROM g", "55000"), ("DELETE FROM d", "55000"), ("UPDATE vv SET nope = 1", "42703"), ("INSERT INTO vv VALUES (2, 'again')", "23505")):
+        assert state(engine, sql) == code
+    assert rows(engine, "SELECT count(*) FROM p") == [(4,)]
+
+
+def test_system_catalogs(engine):
+    engine.sql("CREATE TABLE p (k int PRIMARY KEY, v text DEFAULT 'x'); CREATE TABLE c (id serial, pk int REFERENCES p ON DELETE CASCADE, n int CHECK (n > 0), UNIQUE (pk, n)); CREATE UNIQUE INDEX ci ON c (n); CREATE VIEW vv AS SELECT k FROM p WHERE k > 1")
+    engine.sql("CREATE FUNCTION f1(a int) RETURNS int LANGUAGE sql AS $$ SELECT a $$")
+    assert engine.collect("SELECT n.nspname, c.relname, c.relkind FROM pg_class c JOIN pg_catalog.pg_namespace n ON n.oid = c.relnamespace ORDER BY 2") == [("public", "c", "r"), ("public", "c_id_seq", "S"), ("public", "ci", "i"), ("public", "p", "r"), ("public", "vv", "v")]
+    assert engine.collect("SELECT a.attname, t.typname, a.attnotnull, format_type(a.atttypid, NULL) FROM pg_attribute a JOIN pg_class c ON c.oid = a.attrelid JOIN pg_type t ON t.oid = a.atttypid WHERE c.relname = 'p' ORDER BY attnum") == [("k", "int4", True, "integer"), ("v", "text", False, "text")]
+    assert [r[1:] for r in engine.collect("SELECT conname, contype, pg_get_constraintdef(oid) FROM pg_constraint ORDER BY 1")] == [("c", "CHECK ((n > 0))"), ("f", "FOREIGN KEY (pk) REFERENCES p(k) ON DELETE CASCADE"), ("u", "UNIQUE (pk, n)"), ("p", "PRIMARY KEY (k)")]
+    assert engine.collect("SELECT pg_get_indexdef(indexrelid) FROM pg_index") == [("CREATE UNIQUE INDEX ci ON public.c USING btree (n)",)]
+    assert engine.collect("SELECT pg_get_viewdef('vv') LIKE 'SELECT%', (SELECT count(*) FROM pg_trigger), (SELECT proname FROM pg_proc), (SELECT check_clause FROM information_schema.check_constraints)") == [(True, 0, "f1", "((n > 0))")]

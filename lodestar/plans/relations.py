@@ -33,4 +33,6 @@ QUERIES = {
     "recursive_hierarchy": "WITH RECURSIVE edge AS (SELECT 'r' || r_regionkey::text AS child, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey::text, 'r' || n_regionkey::text FROM nation), walk(node, depth) AS (SELECT 'root', 0 UNION ALL SELECT edge.child, walk.depth + 1 FROM walk JOIN edge ON edge.parent = walk.node) SELECT node, depth FROM walk",
     "recursive_union_distinct": "WITH RECURSIVE edge(a, b) AS (SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM nation), reach(x) AS (SELECT 0 UNION SELECT edge.b FROM reach JOIN edge ON edge.a = reach.x) SELECT x FROM reach",
     "derived_columns": "SELECT t.a AS a, t.b AS b FROM (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 0) AS t(a, b)",
+    "quantified_values": "SELECT n_nationkey AS k, n_nationkey > ANY (SELECT nullif(r_regionkey, 0) FROM region) AS a, n_nationkey >= ALL (SELECT r_regionkey FROM region) AS b, n_nationkey < ALL (SELECT nullif(r_regionkey, 0) FROM region) AS c, n_nationkey = ANY (SELECT nullif(r_regionkey, 3) FROM region) AS d, n_regionkey <= ANY (SELECT 1) AS e FROM nation",
+    "not_in_values": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
 }

@@ -23,7 +23,7 @@ QUERIES = {
     "json_keys_exist": ("SELECT event_id AS k, props::jsonb ? 'k' AS has, props::jsonb ? 'z' AS no, props::jsonb ?| ARRAY['z', 'k'] AS some, props::jsonb ?& ARRAY['z', 'k'] AS every_, json_typeof(props::json) AS t FROM events", "SELECT event_id AS k, true AS has, false AS no, true AS some, false AS every_, 'object' AS t FROM events"),
     "json_contains_set_delete": ("SELECT event_id AS k, props::jsonb @> '{}'::jsonb AS all_, props::jsonb @> '{\"k\": 1}'::jsonb AS one, jsonb_set(props::jsonb, '{k}'::text[], '0'::jsonb) AS s, props::jsonb - 'k' AS d, props::jsonb || '{\"n\": 1}'::jsonb ->> 'n' AS c FROM events", "SELECT event_id AS k, true AS all_, (props::json ->> 'k')::bigint = 1 AS one, '{\"k\":0}' AS s, '{}' AS d, props || '1' AS c FROM events WHERE false UNION ALL SELECT event_id, true, (props::json ->> 'k')::bigint = 1, '{\"k\":0}', '{}', '1' FROM events"),
     "range_ops": ("SELECT o_orderkey AS k, daterange(o_orderdate::date, o_orderdate::date + 30) @> DATE '1996-01-01' AS c, int8range(o_orderkey, o_orderkey + 10) && int8range(100, 120) AS o, int4range(1, 5) -|- int4range(5, 9) AS adj, lower(int8range(o_orderkey, NULL)) AS l, upper_inf(int8range(o_orderkey, NULL)) AS u FROM orders", "SELECT o_orderkey AS k, DATE '1996-01-01' >= o_orderdate::date AND DATE '1996-01-01' < o_orderdate::date + 30 AS c, o_orderkey < 120 AND o_orderkey + 10 > 100 AS o, true AS adj, o_orderkey AS l, true AS u FROM orders"),
-    "range_algebra": ("SELECT n_nationkey AS k, (int4range(n_nationkey, n_nationkey + 10) * int4range(5, 12))::text AS i, (int4range(0, n_nationkey + 1) + int4range(n_nationkey, 40))::text AS u, range_merge(int4range(0, 1), int4range(n_nationkey, 30))::text AS m, isempty(int4range(n_nationkey, 10) * int4range(20, 30)) AS e, '[1,5]'::int4range = '[1,6)'::int4range AS same FROM nation WHERE n_nationkey <= 10", "SELECT n_nationkey AS k, CASE WHEN greatest(n_nationkey, 5) < least(n_nationkey + 10, 12) THEN '[' || greatest(n_nationkey, 5) || ',' || least(n_nationkey + 10, 12) || ')' ELSE 'empty' END AS i, '[0,40)' AS u, '[0,30)' AS m, true AS e, true AS same FROM nation WHERE n_nationkey <= 10"),
+    "range_algebra": ("SELECT n_nationkey AS k, (int4range(n_nationkey, n_nationkey + 10) * int4range(5, 12))::text AS i, (int4range(0, n_nationkey + 1) + int4range(n_nationkey, 40))::text AS u, range_merge(int4range(0, 1), int4range(n_nationkey, 30))::text AS m, isempty(int4range(least(n_nationkey, 10), 10) * int4range(20, 30)) AS e, '[1,5]'::int4range = '[1,6)'::int4range AS same FROM nation", "SELECT n_nationkey AS k, CASE WHEN greatest(n_nationkey, 5) < least(n_nationkey + 10, 12) THEN '[' || greatest(n_nationkey, 5) || ',' || least(n_nationkey + 10, 12) || ')' ELSE 'empty' END AS i, '[0,40)' AS u, '[0,30)' AS m, true AS e, true AS same FROM nation"),
     "srf_generate_series": ("SELECT g AS g, count(o_orderkey) AS n FROM generate_series(1, 60, 3) AS t(g) LEFT JOIN orders ON o_custkey = g GROUP BY g", "SELECT g::int AS g, count(o_orderkey) AS n FROM generate_series(1, 60, 3) AS t(g) LEFT JOIN orders ON o_custkey = g GROUP BY g"),
     "srf_generate_series_ts": "SELECT d AS d, count(o_orderkey) AS n FROM generate_series(TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '1995-02-15 00:00:00', INTERVAL '1 day') AS t(d) LEFT JOIN orders ON o_orderdate = d GROUP BY d",
     "srf_unnest": ("SELECT n_nationkey AS k, x AS x FROM nation, unnest(ARRAY[n_regionkey, n_nationkey, NULL]) AS t(x)", "SELECT n_nationkey AS k, unnest([n_regionkey, n_nationkey, NULL]) AS x FROM nation"),
@@ -33,4 +33,32 @@ QUERIES = {
     "srf_json_elements": ("SELECT n_nationkey AS k, value AS value FROM nation, json_array_elements_text(json_build_array(n_name, n_regionkey)) AS t(value)", "SELECT n_nationkey AS k, unnest([n_name, n_regionkey::text]) AS value FROM nation"),
     "srf_json_keys": ("SELECT n_nationkey AS k, x AS x FROM nation, json_object_keys(json_build_object('a', n_name, 'b', 1)) AS t(x)", "SELECT n_nationkey AS k, unnest(['a', 'b']) AS x FROM nation"),
     "srf_in_select": ("SELECT n_nationkey AS k, generate_series(1, 3) AS g, unnest(ARRAY['a', 'b']) AS u FROM nation", "SELECT n_nationkey AS k, t.g AS g, t.u AS u FROM nation, (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(g, u)"),
+    "str_format_width": (
+        "SELECT n_nationkey AS k, format('%10s|%-12s|%2$s', n_regionkey, n_name) AS f, quote_ident(lower(n_name)) AS q, quote_ident('select') AS r, initcap(lower(n_name)) AS i FROM nation",
+        "SELECT n_nationkey AS k, lpad(n_regionkey::text, 10, ' ') || '|' || CASE WHEN length(n_name) < 12 THEN rpad(n_name, 12, ' ') ELSE n_name END || '|' || n_name AS f, CASE WHEN regexp_matches(lower(n_name), '^[a-z_][a-z0-9_]*$') THEN lower(n_name) ELSE '\"' || lower(n_name) || '\"' END AS q, '\"select\"' AS r, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i FROM nation",
+    ),
+    "str_regexp": (
+        "SELECT p_partkey AS k, regexp_replace(p_name, 'e', '_') AS one, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') AS all_, regexp_replace(p_type, 't', '$', 'gi') AS i, translate(p_brand, 'Bd', 'bD') AS t FROM part",
+        "SELECT p_partkey AS k, regexp_replace(p_name, 'e', '_') AS one, regexp_replace(p_name, '([aeiou])', '<\\1>', 'g') AS all_, regexp_replace(p_type, 't', '$', 'gi') AS i, translate(p_brand, 'Bd', 'bD') AS t FROM part",
+    ),
+    "arr_dimensions": (
+        "SELECT n_nationkey AS k, array_length(ARRAY[ARRAY[n_nationkey, 1, 2], ARRAY[3, 4, 5]], 2) AS two, array_length(ARRAY[ARRAY[n_nationkey, 1, 2], ARRAY[3, 4, 5]], 1) AS one, array_ndims(ARRAY[ARRAY[n_nationkey]]) AS nd, cardinality(ARRAY[ARRAY[n_nationkey, 1], ARRAY[2, 3]]) AS c, array_length(ARRAY[n_nationkey], 2) AS none, array_upper(ARRAY[n_nationkey, 2], 1) AS up, array_position(ARRAY[1, nullif(n_regionkey, 1)], NULL) AS p FROM nation",
+        "SELECT n_nationkey AS k, 3 AS two, 2 AS one, 2 AS nd, 4 AS c, NULL::int AS none, 2 AS up, CASE WHEN n_regionkey = 1 THEN 2 END AS p FROM nation",
+    ),
+    "dt_interval_fields": (
+        "SELECT o_orderkey AS k, extract(epoch FROM INTERVAL '1 day') AS e, extract(month FROM INTERVAL '14 months') AS m, extract(epoch FROM INTERVAL '1 month' + INTERVAL '2 days') AS mixed, o_orderdate + (INTERVAL '1 month' + INTERVAL '3 days') AS d, extract(day FROM o_orderdate - TIMESTAMP '1992-01-01 00:00:00') AS days, date_part('year', o_orderdate) AS y FROM orders",
+        "SELECT o_orderkey AS k, 86400.0::double AS e, 2.0::double AS m, 2764800.0::double AS mixed, o_orderdate + INTERVAL 1 MONTH + INTERVAL 3 DAY AS d, datediff('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate)::double AS days, year(o_orderdate)::double AS y FROM orders",
+    ),
+    "dt_zone": (
+        "SELECT o_orderkey AS k, (o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'UTC' AS u, now() = transaction_timestamp() AS same, current_date = now()::date AS today FROM orders",
+        "SELECT o_orderkey AS k, o_orderdate AS u, true AS same, true AS today FROM orders",
+    ),
+    "json_edit_numbers": (
+        "SELECT n_nationkey AS k, jsonb_set('{\"a\": 1.50}'::jsonb, '{b}'::text[], to_jsonb(n_regionkey)) AS s, jsonb_strip_nulls(json_build_object('x', nullif(n_regionkey, 1), 'y', n_nationkey)) AS n, jsonb_pretty(json_build_array(n_nationkey)) AS p FROM nation",
+        "SELECT n_nationkey AS k, '{\"a\":1.50,\"b\":' || n_regionkey || '}' AS s, CASE WHEN n_regionkey = 1 THEN '{' ELSE '{\"x\":' || n_regionkey || ',' END || '\"y\":' || n_nationkey || '}' AS n, '[' || chr(10) || '    ' || n_nationkey || chr(10) || ']' AS p FROM nation",
+    ),
+    "session_functions": (
+        "SELECT n_nationkey AS k, length(gen_random_uuid()::text) AS u, pg_typeof(n_nationkey) AS t, pg_typeof(n_name) AS s, version() IS NOT NULL AS v, current_schema() AS c, has_table_privilege('nation', 'select') AS p, pg_try_advisory_lock(1) AS l, pg_encoding_to_char(6) AS e FROM nation",
+        "SELECT n_nationkey AS k, 36 AS u, 'integer' AS t, 'text' AS s, true AS v, 'public' AS c, true AS p, true AS l, 'UTF8' AS e FROM nation",
+    ),
 }

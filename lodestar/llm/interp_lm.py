@@ -36,8 +36,8 @@ from ._scratch import written
 from ._text import chunks, distinct, mix
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
-#: Bytes of text in a group of blocks that asks and is answered together.
+BLOCK_BYTES = 4 << 20
+#: Bytes of text in a group of blocks that asks and is answered together (a held-out block is a group of its own).
 GROUP_BYTES = 16 << 20
 #: Bytes of text for which there is one shard of n-grams.
 SHARD_BYTES = 16 << 20
@@ -105,7 +105,7 @@ def blocks(docs: DataFrame, held_remainder: int = 1, parts: int = 5, deleted: in
                 size[em] += len(text)
                 if size[em] >= BLOCK_BYTES or len(pending[em]) >= 100_000:
                     block(em)
-                    if sum(b[-1] for b in held[em]) >= GROUP_BYTES or len(held[em]) >= 16:
+                    if em or sum(b[-1] for b in held[em]) >= GROUP_BYTES or len(held[em]) >= 16:
                         yield group(em)
         for em in (True, False):
             if pending[em]:
@@ -253,12 +253,12 @@ def _joined(left: pd.DataFrame, right: pd.DataFrame, held: bool) -> Iterator[tup
 
 
 def _gathered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The held-out tokens' distinct counts (pair, context, word) and how often each comes."""
+    """The counts (pair, context, word) of the held-out tokens."""
     names = ["pair", "context", "word"]
-    found = [pd.DataFrame({"pair": [], "context": [], "word": [], "n": []}, dtype="int64")]
-    for _, *counts in _joined(left, right, True) if not left.empty else ():
-        found.append(pd.DataFrame(dict(zip(names, counts, strict=True))).value_counts(sort=False).rename("n").reset_index())
-    return pd.concat(found).groupby(names, as_index=False)["n"].sum()[[*names, "n"]].astype("int64")
+    if left.empty:
+        return pd.DataFrame({n: [] for n in names}, dtype="int64")
+    found = [counts for _, *counts in _joined(left, right, True)]
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*found, strict=True), strict=True)})
 
 
 def mixture(cell_bucket: np.ndarray, n: np.ndarray, by_pair: np.ndarray, by_word: np.ndarray, uniform: float) -> np.ndarray:
@@ -340,8 +340,8 @@ def fit_and_score(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     numbers = answers.filter("group IS NULL").agg(*[F.sum(F.col("numbers")[i]) for i in range(4)]).first()
     told = answers.filter("group IS NOT NULL").drop("numbers")
     held = stored.filter("em").groupBy("group").cogroup(told.filter("em").groupBy("group"))
-    held = held.applyInPandas(_gathered, "pair long, context long, word long, n long")
-    held = written(held.groupBy("pair", "context", "word").agg(F.sum("n").alias("n")), "held")
+    held = held.applyInPandas(_gathered, "pair long, context long, word long")
+    held = written(held.groupBy("pair", "context", "word").agg(F.count("*").alias("n")), "held")
     model = Model(numbers[0], numbers[1], learnt(held, numbers[2], numbers[3]))
     return model, stored.drop("em").groupBy("group").cogroup(told.drop("em", "held").groupBy("group")).applyInPandas(_scored(model), schema)
 

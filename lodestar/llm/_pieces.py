@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable
-from functools import lru_cache
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -24,6 +24,26 @@ os.environ.setdefault("RAYON_NUM_THREADS", "2")
 HELD_BYTES = 16 << 20
 
 
+_KEPT: list[dict] = []
+
+
+def kept_alone(build: Callable) -> Callable:
+    """What a worker builds once and keeps between tasks; building another such thing lets this go, as the stages that
+    use them follow one another."""
+    held: dict = {}
+    _KEPT.append(held)
+
+    @wraps(build)
+    def get(*args):
+        if args not in held:
+            for other in _KEPT:
+                other.clear()
+            held[args] = build(*args)
+        return held[args]
+
+    return get
+
+
 class PieceCache:
     """Numbers of pieces by their bytes; emptied when it holds ``limit`` pieces, so that memory is bounded.
 
@@ -132,7 +152,7 @@ class PieceCache:
         return text.hashes(begin, end)
 
 
-@lru_cache(1)
+@kept_alone
 def digests() -> PieceCache:
     """The worker's 64-bit BLAKE2 digests of words."""
     return PieceCache(lambda words: [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"),) for w in words], 200_000, np.uint64)

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from ._pieces import PieceCache
+from ._pieces import PieceCache, kept_alone
 from ._text import Texts
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
@@ -103,7 +103,7 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
 
 
-@lru_cache(4)
+@kept_alone
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary; it stays between tasks."""
     return Encoder(path)

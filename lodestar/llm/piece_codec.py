@@ -18,7 +18,6 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pieces import PieceCache, ragged
+from ._pieces import PieceCache, kept_alone, ragged
 from ._scratch import fresh
 from ._text import Texts, chunks
 
@@ -224,7 +223,7 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int32, int(begins[-1])), begins
 
 
-@lru_cache(2)
+@kept_alone
 def codec(path: str) -> Codec:
     """The worker's codec for a model; it stays between tasks."""
     return Codec(path)

@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._scratch import written
 from ._text import LOWER, Spans, Texts, chunks, distinct, runs
@@ -198,8 +197,12 @@ def sampled(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_byte
     keys = written(first[0].union(first[1]), "labelled")  # at most twice max_fit rows
     rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.max("text").alias("text"))
     rows = written(rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
-    before = Window.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = rows.filter(F.col("bytes") * 32 <= max_bytes).select("doc_id", "toxic", F.sum("bytes").over(before).alias("upto")).filter(F.col("upto") <= max_bytes).select("doc_id")
+    upto, within = {False: 0, True: 0}, []
+    for r in sorted(rows.filter(F.col("bytes") * 32 <= max_bytes).select("place", "doc_id", "toxic", "bytes").collect()):  # at most twice max_fit rows
+        upto[r.toxic] += r.bytes
+        if upto[r.toxic] <= max_bytes:
+            within.append((r.doc_id,))
+    within = docs.sparkSession.createDataFrame(within, "doc_id long")
     return written(rows.join(F.broadcast(within), "doc_id").select("text", "toxic"), "fitted")
 
 

@@ -98,7 +98,7 @@ def _differing(docs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame
     ids = join_hot(rows, several, ["sha"], "group_size").select("doc_id").distinct()
     wanted = docs.select("doc_id", normalised(F.col("text")).alias("body"))
     texts = join_keys(wanted.filter("doc_id IS NOT NULL"), written(ids, "ids"), "doc_id").unionByName(wanted.filter("doc_id IS NULL"))
-    texts = texts.withColumn("sha", F.unhex(F.sha2("body", 256)))
+    texts = written(texts.withColumn("sha", F.unhex(F.sha2("body", 256))), "copied")  # read several times below
     salts = F.ceil(F.col("group_size") / COPIES_PER_SALT).cast("int")
     named = join_hot(texts, several, ["sha"], "group_size")
     copies = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))

@@ -16,6 +16,8 @@ from ._pieces import PieceCache, kept_alone
 from ._text import Texts
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
+#: Pieces that the library encodes at a time.
+_BATCH = 4096
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: The endings that the pre-tokeniser's pattern takes together with an apostrophe.
@@ -81,7 +83,10 @@ class Encoder:
             self.cache = PieceCache(self._library)
 
     def _library(self, pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        out = []
+        for at in range(0, len(pieces), _BATCH):
+            out += [e.ids for e in self.whole.encode_batch_fast([p.decode() for p in pieces[at : at + _BATCH]], add_special_tokens=False)]
+        return out
 
     def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin (one more at the end)."""

@@ -4,8 +4,9 @@ The model's protobuf is parsed here (field numbers are the format's own), and a
 from it: the normaliser, the space marker, unigram scores or, for a BPE model, the merges that its scores
 order, and byte fallback.  Words (each with the spaces before it) are encoded independently of each other,
 because no piece has a space marker after another character; where a model has such pieces, or a text holds
-the marker itself, whole texts are encoded.  A worker encodes each distinct word once, in multithreaded batches.  Every
-text is also encoded as a whole by the SentencePiece library: it has parity if all its ids are the same.
+the marker itself, whole texts are encoded.  A worker encodes each distinct word once, in multithreaded batches of joined
+words: most of the time of a call goes to the call, not to the word.  Every text is also encoded as a whole by the
+SentencePiece library: it has parity if all its ids are the same.
 
 Defined cases: null text is empty and has no ids (parity holds, and it is restored as empty); texts of any length are
 encoded as a whole; ids outside the vocabulary decode to nothing; control pieces decode to nothing; user-defined pieces
@@ -18,7 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MARKER = "▁"
 # Piece kinds and model kinds of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
+#: Words that are joined to one text for the tokenizers library.
+_JOINED = 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -141,18 +144,20 @@ class Codec:
 
     def __init__(self, path: str):
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.model = PieceModel.load(path)
         self.whole = rebuilt(self.model)
         self.checker = sentencepiece.SentencePieceProcessor(model_file=path)
         self.words = self.model.by_words()
-        plain = rebuilt(PieceModel(**{**self.model.__dict__, "add_prefix": False}))
-        self.plain = plain
+        self.plain = Tokenizer(self.whole.model)  # for words, whose spaces are markers already
+        ordinary = [p if kind in (NORMAL, USER) else "" for p, _, kind in self.model.pieces]
+        self.head = np.array([p.startswith(MARKER) for p in ordinary])
+        self.blank = np.array([p != "" and not p.strip(MARKER) for p in ordinary])
+        self.joins = MARKER in ordinary
         self.cache = PieceCache(self._encode)
         self.spell = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
-        self.lengths = np.array([len(s) for s in self.spell])
-        self.begins = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.letters = np.frombuffer(b"".join(self.spell), np.uint8)
+        self.spelt = pa.array(self.spell, pa.large_binary())
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -163,7 +168,22 @@ class Codec:
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARKER, " ").encode()
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.plain.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """Ids of each word.  Joined words (spaces, then anything else) are told apart by their ids: no piece crosses their
+        borders, and each begins with the only piece that has a marker in front and no piece of markers alone before it."""
+        fit = [self.joins and w[0] == 0x20 != w[-1] for w in words]
+        several, alone = list(compress(words, fit)), [w for w, f in zip(words, fit, strict=True) if not f]
+        groups = [b"".join(several[at : at + _JOINED]) for at in range(0, len(several), _JOINED)]
+        texts = [w.decode().replace(" ", MARKER) for w in groups + alone]
+        found = [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = list(chain.from_iterable(found[: len(groups)]))
+        ids = np.array(flat, np.int32)
+        new = self.head[ids]
+        new[1:] &= ~self.blank[ids[:-1]]
+        cuts = [*np.flatnonzero(new).tolist(), len(flat)]
+        if len(cuts) - 1 != len(several):
+            raise ValueError("joined words can't be told apart")
+        joined, single = (flat[a:b] for a, b in pairwise(cuts)), iter(found[len(groups) :])
+        return [next(joined if f else single) for f in fit]
 
     def __call__(self, part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, where each text's begin (one more at the end), and its parity."""
@@ -191,7 +211,9 @@ class Codec:
 
     def _parity(self, texts: list[str], ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Whether each text's ids are those that the SentencePiece library gives it."""
-        theirs, at = _flat(self.checker.encode(texts, num_threads=1))
+        found = self.checker.encode(texts, num_threads=1, return_type="numpy")
+        theirs = np.concatenate([np.zeros(0, np.int32), *found])
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         n = np.diff(begins)
         out = n == np.diff(at)
         place = np.concatenate([[0], np.cumsum(np.where(out, n, 0))])
@@ -201,10 +223,11 @@ class Codec:
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts one after the other, and where each text's begin; the prefixed space is taken off."""
-        ids = np.where((ids >= 0) & (ids < len(self.lengths)), ids, 0 if not self.spell[0] else self._empty())
-        size = self.lengths[ids]
-        data = self.letters[ragged(self.begins[ids], size)]
-        at = np.concatenate([[0], np.cumsum(size)])[begins]
+        ids = np.where((ids >= 0) & (ids < len(self.spell)), ids, 0 if not self.spell[0] else self._empty())
+        _, ends, letters = self.spelt.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = np.frombuffer(letters, np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+        at = ends[begins]
         if not self.model.add_prefix:
             return data, at
         first = at[:-1][(np.diff(at) > 0)]

@@ -44,6 +44,33 @@ def test_a_long_text(docs, words):
     assert r.parity and r.restored and r.n_ids == len(r.ids) > 200_000
 
 
+def test_words_are_joined_for_the_library():
+    own = piece_codec.Codec(PATH)
+    rng = np.random.default_rng(1)
+    spaces = [" ", "  ", " " * 3, " " * 40]
+    words = [str(rng.choice(spaces)) + "".join(rng.choice(list("abesxy1'\t\n.é\u3000中😀́²"), rng.integers(1, 30))) for _ in range(2000)]
+    words += ["none", *spaces, " a" + "b" * 3000]
+    words = [words[i].encode() for i in rng.permutation(len(words))]
+    right = [own.plain.encode(w.decode().replace(" ", piece_codec.MARKER)).ids for w in words]
+    texts, library = [], own.plain
+
+    class Counted:
+        def encode_batch_fast(self, batch, **options):
+            texts.extend(batch)
+            return library.encode_batch_fast(batch, **options)
+
+    own.plain = Counted()
+    assert own._encode(words) == right and own._encode([]) == [] and own._encode([b" "]) == [library.encode(piece_codec.MARKER).ids]
+    assert len(texts) < len(words) / 10
+
+
+def test_decode_of_no_letters():
+    own = piece_codec.Codec(PATH)
+    for ids in ([], [-1, 10**6]):
+        data, at = own.decode(np.array(ids, np.int64), np.array([0, 0, len(ids)]))
+        assert data.tolist() == [] and at.tolist() == [0, 0, 0]
+
+
 def test_unigram_model_scores():
     model = piece_codec.PieceModel(pieces=[("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -1.5, 1), ("▁ab", -2.0, 1), ("▁", -3.0, 1)], kind=piece_codec.UNIGRAM)
     tokenizer = piece_codec.rebuilt(model)
